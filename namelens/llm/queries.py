@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from namelens.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from namelens.llm.quality_rules import quality_rules
 
@@ -14,5 +22,113 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from namelens.llm import cotraining
+
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from namelens.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from namelens.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from namelens.llm.source_mixing import taken_words
+
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from namelens.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from namelens.llm.chat_format import digests, format_chats
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    return digests(format_chats(rows.unionByName(extra), tokenizer_path()))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from namelens.llm.substring_dedup import removed_digests
+
+    return removed_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from namelens.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from namelens.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_quality_classifier, op3_toxicity, op4_license_scan, op5_source_mixing,
+        op6_ngram_join, op7_chat_format, op8_substring_dedup, op9_best_fit_packing, op10_fingerprints,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS shuffled
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s),
+x AS (SELECT *, CASE i % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM w),
+y AS (
+  SELECT *, 1.5::DOUBLE * (SELECT sum(n) FROM s)::DOUBLE
+           - coalesce(sum(2.0::DOUBLE * n) OVER o, 0) AS left_over,
+         (SELECT sum(weight) FROM x) - coalesce(sum(weight) OVER o, 0) AS left_weight
+  FROM x WINDOW o AS (ORDER BY 2.0::DOUBLE * n / weight, weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, left_over / left_weight AS level, 2.0::DOUBLE * n <= left_over / left_weight * weight AS full_up FROM y),
+l AS (SELECT min(level) AS level FROM z WHERE NOT full_up
+        AND 2.0::DOUBLE * n / weight = (SELECT min(2.0::DOUBLE * n / weight) FROM z WHERE NOT full_up)),
+t AS (SELECT source, n, i, CASE WHEN full_up THEN 2.0::DOUBLE * n ELSE l.level * weight END AS target FROM z LEFT JOIN l ON true),
+tot AS (SELECT sum(target ORDER BY i) AS total, greatest(1, least(2048, (sum(target ORDER BY i) // 200000)::BIGINT)) AS block FROM t),
+c AS (
+  SELECT t.*, total, block, CASE WHEN i >= (SELECT max(i) FROM t WHERE target > 0) THEN 2147483648
+         ELSE round_even(sum(target) OVER (ORDER BY i) / total * 2147483648.0, 0)::BIGINT END AS high
+  FROM t, tot),
+share AS (SELECT *, coalesce(lag(high) OVER (ORDER BY i), 0) AS low, ((n + block - 1) // block)::BIGINT AS blocks FROM c),
+slot AS (SELECT k, (((k + 1) % 2147483648) * 1327217885) % 2147483648 AS point
+         FROM (SELECT unnest(range(ceil((SELECT total / block FROM tot))::BIGINT)) AS k)),
+r AS (SELECT i, blocks, row_number() OVER (PARTITION BY i ORDER BY k) - 1 AS rank
+      FROM slot JOIN share ON point >= low AND point < high),
+took AS (SELECT i, rank % blocks AS b, count(*) AS times FROM r WHERE blocks > 0 AND rank < 2 * blocks GROUP BY ALL),
+pos AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+part AS (
+  SELECT pos.doc_id, pos.source, pos.size, i, b.b AS b, least(start + size, (b.b + 1) * block) - greatest(start, b.b * block) AS len
+  FROM pos JOIN share ON pos.source IS NOT DISTINCT FROM share.source,
+       LATERAL (SELECT unnest(range(start // block, (start + size - 1) // block + 1)) AS b) b
+  WHERE size > 0),
+taken AS (SELECT doc_id, source, size, sum(len * times) AS taken FROM part JOIN took USING (i, b) GROUP BY ALL)
+SELECT d.doc_id, d.size, share.n AS source_size, share.target, coalesce(taken.taken, 0)::BIGINT AS taken
+FROM d JOIN share ON d.source IS NOT DISTINCT FROM share.source
+LEFT JOIN taken ON taken.doc_id IS NOT DISTINCT FROM d.doc_id AND taken.source IS NOT DISTINCT FROM d.source AND taken.size = d.size
+""",
+}
