@@ -35,15 +35,15 @@ FEATURES = {
 }
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and the counts of each text.
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the counts of each text. keep: columns of docs that come along as __keep0, __keep1 ...
 
     Repeated five-word windows are found by their 64-bit hashes within one text.
     Texts without one (most) leave after one hash-set pass; the others sort
     (hash, position) pairs, so that no text costs more than n log n.
     """
     text = F.col("text")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), words_col(F.col(text_col)).alias("w"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), words_col(F.col(text_col)).alias("w"), *[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)])
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     d = d.select(
         "doc_id",
@@ -54,6 +54,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct_words"),
         lines.alias("lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
+        *[f"__keep{i}" for i in range(len(keep))],
     )
     # hashes of 2, 4 and then 5 words from the word hashes; the last WINDOW - 1 are cut off
     d = d.withColumn("h2", F.zip_with("h", F.slice("h", 2, _ALL), lambda a, b: F.xxhash64(a, b)))
@@ -228,8 +229,17 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, max_labelled: int =
     return saved(chosen, "labelled-statistics")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """Statistics of every document with base_failed and kept."""
+def quality_rules(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), **params) -> DataFrame:
+    """Statistics of every document with base_failed and kept. keep: as in statistics()."""
     rules = learn(labelled_statistics(docs, labels).filter(~base_failed()), **params)
-    out = statistics(docs).withColumn("base_failed", base_failed())
+    out = statistics(docs, keep=keep).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & ~rejected(rules))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    names = docs.columns
+    out = quality_rules(docs, labels, keep=tuple(names), **params)
+    # the number in the filter keeps Spark from pushing it below the arrays that the statistics are made of
+    out = out.withColumn("__row", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("__row") >= 0))
+    return out.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(names)])

@@ -50,7 +50,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         m = max(n, 1 << 16)
         inverse = pow(_P, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(m, x, np.uint64)]).astype(np.uint64)) for x in (_P, inverse)]
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, x, np.uint64)])) for x in (_P, inverse)]
     return _POWERS[0], _POWERS[1]
 
 
