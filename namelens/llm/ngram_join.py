@@ -93,7 +93,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id of the documents with an equal set) and n_links between different sets found."""
-    share = min(1.0, 2.5 * (100 - percent) / 100)
+    share = min(1.0, 2.0 * (100 - percent) / 100)
     limit = int(share * (1 << 32))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,8 +134,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = d.join(alive.select("doc", "c1"), "doc").mapInPandas(sets_of, "doc long, tokens array<long>")
     sets = saved(sets, "join-sets")
     # 3. document frequencies among what is left, and prefixes
-    t = sets.select("doc", F.explode("tokens").alias("token"))
-    df = t.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # dealt out once: the counts and the rows that they join both read this exchange
+    t = sets.select("doc", F.explode("tokens").alias("token")).repartition("token")
+    df = t.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
     lists = t.join(df, "token").groupBy("doc").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
