@@ -100,7 +100,7 @@ def format_chats(rows: DataFrame, tokenizer_path: str, *, trained: str = "assist
                 e = t.encode(text, add_special_tokens=False)
                 offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
                 out.append((conv, text, e.ids, offsets[:, 0], offsets[:, 1], loss_mask(offsets[:, 0], offsets[:, 1], spans)))
-            yield pd.DataFrame(out, columns=["conv_id", "formatted", "input_ids", "starts", "ends", "loss_mask"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "formatted", "input_ids", "starts", "ends", "loss_mask"]).astype({"conv_id": "Int64", "formatted": object})
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turns = F.sort_array(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), text("role"), text("text")))).alias("turns")
@@ -119,7 +119,7 @@ def digests(formatted: DataFrame) -> DataFrame:
                 turns, loss = parse(text), masked_text(text, np.asarray(starts), np.asarray(ends), np.asarray(mask))
                 out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64", "turns_sha256": object, "loss_sha256": object})
 
     d = formatted.select("conv_id", "formatted", "starts", "ends", "loss_mask")
     return d.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

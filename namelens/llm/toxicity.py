@@ -104,7 +104,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 8000, max_clean: int = 16000, prior: float = 2000.0, least_z: float = 4.0, least_odds: float = 2.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 8000, max_clean: int = 16000, prior: float = 0.05, least_z: float = 2.5, least_odds: float = 2.0) -> Model:
     """docs: doc_id and text; labels: doc_id and toxic."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -114,13 +114,15 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 8000, max_clea
     part = lambda most, has: int(min(1.0, most / has) * (1 << 30))
     bound = F.when(F.col("toxic"), part(max_toxic, n[True])).otherwise(part(max_clean, n[False]))
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < bound)
-    sample = saved(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "toxic-sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # copies of one text count once
+    sample = saved(sample.dropDuplicates(["text", "toxic"]), "toxic-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, list[int]] = {}
 
         def out() -> pd.DataFrame:
-            df = pd.DataFrame({"feature": list(counts), "toxic": [c[1] for c in counts.values()], "clean": [c[0] for c in counts.values()]})
+            df = pd.DataFrame({"feature": pd.Series(list(counts), dtype=object), "toxic": [c[1] for c in counts.values()], "clean": [c[0] for c in counts.values()]})
             counts.clear()
             return df
 
@@ -139,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 8000, max_clea
     nt, nc = float(total[0] or 0), float(total[1] or 0)
     if not nt or not nc:
         return Model()
-    a0 = F.lit(prior)
+    a0 = F.lit(prior * (nt + nc))  # the prior weighs as much as this share of the sample
     a = a0 * (F.col("t") + F.col("c")) / F.lit(nt + nc) + F.lit(0.01)
     odds = lambda y, n: F.log((y + a) / (F.lit(n) + a0 - y - a))
     f = f.withColumns({"odds": odds(F.col("t"), nt) - odds(F.col("c"), nc), "z": (odds(F.col("t"), nt) - odds(F.col("c"), nc)) / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))})
@@ -178,8 +180,14 @@ def _calibrate(sample: DataFrame, model: Model) -> Model:
     reached = float((clean["best"] >= typical).mean()) if len(clean) else 0.0
     mean_n = max(1.0, words / max(1, len(clean)))
     model.k = max(1e-9, -math.log(1 - min(0.99, max(reached, 1e-6))) / (mean_n * math.exp(-model.lam * typical)))
-    e = np.array([evidence(int(n), [(0, 0, b)] if b > 0 else [], model) for n, b in zip(x["n"], x["best"], strict=True)])
-    y = x["toxic"].to_numpy(float)
+
+    def evident(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, float] = {}
+        for b in batches:
+            yield pd.DataFrame({"toxic": b["toxic"], "e": [evidence(*scan(text, model, seen), model) for text in b["text"]]})
+
+    x = sample.select("text", "toxic").mapInPandas(evident, "toxic boolean, e double").toPandas()
+    e, y = x["e"].to_numpy(float), x["toxic"].to_numpy(float)
     w = np.zeros(2)
     m = np.column_stack([e / 10, np.ones(len(e))])
     for _ in range(50):  # Newton's method with a small ridge
