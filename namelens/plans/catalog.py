@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namelens.functions import pinyin
+from namelens.functions import dims, pinyin
 from namelens.functions import text as t
-from namelens.operators import author_filter, author_lists, quality, surname_older, surname_v8
+from namelens.operators import author_filter, author_lists, institutions, quality, surname_older, surname_v8
 from namelens.plans import sql
 from namelens.plans.authors import authors
 
@@ -115,11 +115,34 @@ def version_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("v3", "v7", "v8").agg(F.count("*").alias("n"))
 
 
+def institutions_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("affiliation_raw")
+    return authors(spark, sf_dir).select("record_id", institutions.is_institution(c).alias("found"), F.array_join(institutions.matched(c), "|").alias("keywords"), institutions.confidence(c).alias("confidence"))
+
+
+def transliterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every surname of the dictionary with its reading, its Cyrillic form and lookups by either."""
+    rows = spark.createDataFrame([(h,) for h in dims.DEFAULT.hanzi], "hanzi string")
+    c = F.col("hanzi")
+    return rows.select("hanzi", F.array_join(pinyin.readings(c), " ").alias("reading"), pinyin.cyrillic(c).alias("cyrillic"), pinyin.cyrillic(c, sep=" ").alias("cyrillic_spaced"), t.surname_of(F.concat(c, F.lit("某"))).alias("surname"))
+
+
+def surname_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index from readings to surnames."""
+    rows = spark.createDataFrame(list(dims.DEFAULT.surnames), "hanzi string, pinyin string")
+    return rows.groupBy("pinyin").agg(F.array_join(F.sort_array(F.collect_set("hanzi")), " ").alias("hanzi"))
+
+
+def author_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.sample(authors(spark, sf_dir), "record_id", 100).select("record_id", "name_raw")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         v8_local, v8_batch, v8_summary, v8_accuracy, v7, v3, affiliations, pinyin_segments, western_features, surname_lookups,
         name_orders, author_list_parsing, author_verdicts, class_shares, exclusion_reasons, false_positives, wrongly_excluded, version_disagreement,
+        institutions_found, transliterations, surname_index, author_sample,
     )
 }
 ORACLE_SQL = sql.SQL

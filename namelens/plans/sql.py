@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from namelens.functions import dims
+from namelens.operators import institutions
 from namelens.plans.authors import AUTHORS_SQL
 
 D = dims.DEFAULT
@@ -162,3 +163,111 @@ SELECT x.l AS surname, x.g AS given, coalesce(r.r, 999) AS rank, coalesce(s.r, 9
   coalesce(fo.o, 'Unknown') AS origin, hz.p IS NOT NULL AS is_pinyin, coalesce(hz.h, '') AS hanzi
 FROM x LEFT JOIN ranks r ON r.p = x.l LEFT JOIN ranks s ON s.p = x.g LEFT JOIN va ON va.k = x.l LEFT JOIN tr ON tr.k = x.l LEFT JOIN fo ON fo.k = x.l LEFT JOIN hz ON hz.p = x.l""",
 }
+
+# --- author filter and reports ---------------------------------------------------
+
+_NOT_CHINESE = tuple(D.foreign_of("Japanese", "European", "Indian"))
+_VARIANT = table("va", "k, v", [(k, v) for k, vs in dims.VARIANTS.items() for v in vs])
+#: Whether a lower-case token {0} is a surname in its own spelling or by a standard reading.
+_READS = "({0} IN " + str(tuple(D.pinyin)) + " OR {0} IN (SELECT k FROM va WHERE v IN " + str(tuple(D.pinyin)) + "))"
+_TRAD = "{0} IN " + str(tuple(dims.TRADITIONAL))
+
+VERDICT = f"""
+WITH {AUTHORS_SQL}, {_VARIANT},
+tk AS (SELECT *, list_filter(regexp_split_to_array(trim(regexp_replace(name_raw, '[(（][^)）]*[)）]', '', 'g')), '\\s+'), lambda x: x <> '') AS t FROM authors),
+ex AS (SELECT record_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM tk),
+lo AS (SELECT *, lower(w) AS l FROM ex),
+jd AS (SELECT *, length(l) > 1 AND l NOT IN {_NOT_CHINESE} AND ({_TRAD.format("l")} OR {_READS.format("l")}) AS fits,
+  CASE WHEN l IN {_NOT_CHINESE} THEN 'foreign_surname:' || w
+       WHEN NOT contains(w, '-') AND l IN {tuple(dims.FOREIGN_GIVEN)} THEN 'foreign_name:' || w
+       WHEN contains(w, '-') THEN list_filter(list_transform(string_split(w, '-'), lambda p: CASE WHEN lower(p) IN {_NOT_CHINESE} THEN 'compound_surname:' || p
+         WHEN lower(p) IN {tuple(dims.FOREIGN_GIVEN)} AND length(p) > 4 THEN 'compound_name:' || p END), lambda p: p IS NOT NULL)[1] END AS bad FROM lo),
+ag AS (SELECT record_id, arg_min(w, i) FILTER (WHERE fits) AS s, arg_min(bad, i) FILTER (WHERE bad IS NOT NULL) AS bad FROM jd GROUP BY 1),
+verdict AS (
+  SELECT tk.record_id, lastname, name_raw, CASE WHEN len(t) >= 2 THEN s IS NOT NULL AND bad IS NULL END AS is_chinese,
+    CASE WHEN len(t) < 2 THEN 0.0::DOUBLE WHEN s IS NULL THEN 0.9::DOUBLE WHEN bad IS NOT NULL THEN 0.95::DOUBLE
+      WHEN coalesce(len(list_filter({lit(dims.FILTER_KEYWORDS)}, lambda k: contains(lower(affiliation_raw), k))) > 0, false) THEN 0.95::DOUBLE ELSE 0.85::DOUBLE END AS confidence,
+    CASE WHEN name_raw = '' THEN 'empty' WHEN len(t) < 2 THEN 'incomplete' WHEN s IS NULL THEN 'no_surname' WHEN bad IS NOT NULL THEN bad
+      WHEN {_TRAD.format("lower(s)")} THEN 'traditional:' || s ELSE 'pinyin:' || s END AS reason,
+    CASE WHEN len(t) >= 2 THEN s END AS surname_token
+  FROM tk LEFT JOIN ag USING (record_id))
+"""
+_KNOWN_LAST = f"({_TRAD.format('lower(lastname)')} OR {_READS.format('lower(lastname)')})"
+
+SQL |= {
+    "author_verdicts": VERDICT + "SELECT record_id, is_chinese, confidence, reason, surname_token FROM verdict",
+    "class_shares": VERDICT + "SELECT is_chinese, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS percent FROM verdict WHERE is_chinese IS NOT NULL GROUP BY 1",
+    "exclusion_reasons": VERDICT + "SELECT string_split(reason, ':')[1] AS kind, count(*) AS n FROM verdict WHERE NOT coalesce(is_chinese, false) GROUP BY 1",
+    "false_positives": VERDICT + f"SELECT record_id, lastname, name_raw, reason FROM verdict WHERE is_chinese AND lastname <> '' AND NOT {_KNOWN_LAST}",
+    "wrongly_excluded": VERDICT + f"SELECT record_id, lastname, name_raw, reason FROM verdict WHERE NOT coalesce(is_chinese, false) AND lastname <> '' AND {_KNOWN_LAST}",
+}
+
+# --- the earlier generations -------------------------------------------------------
+
+_PATTERN = """CASE WHEN contains({0}, '-') THEN true WHEN length({0}) >= 6 AND len(regexp_extract_all(lower({0}), '[aeiou]+')) >= 2 THEN true
+  WHEN length({0}) <= 4 AND len(regexp_extract_all(lower({0}), '[aeiou]+')) <= 2 THEN false ELSE regexp_matches(lower({0}), 'ing|ang|ong|eng|iao|ian|uan|uang') END"""
+SQL["v3"] = f"""
+WITH {AUTHORS_SQL}, {_VARIANT}, {RANK},
+tk AS (SELECT *, list_filter(regexp_split_to_array(name_raw, '\\s+'), lambda x: x <> '') AS t FROM authors),
+ab AS (SELECT *, t[1] AS a, t[-1] AS b, lower(t[1]) AS la, lower(t[-1]) AS lb FROM tk),
+sg AS (SELECT ab.*, {_READS.format("la")} AS sa, {_READS.format("lb")} AS sb, coalesce(r.r, 999) AS ra, coalesce(q.r, 999) AS rb, {_PATTERN.format("a")} AS pa, {_PATTERN.format("b")} AS pb,
+  coalesce(len(list_filter(['china', 'chinese', 'beijing', 'shanghai', 'guangzhou', 'tsinghua', 'peking university', 'fudan'], lambda k: contains(lower(affiliation_raw), k))) > 0, false) AS aff
+  FROM ab LEFT JOIN ranks r ON r.p = la LEFT JOIN ranks q ON q.p = lb),
+cf AS (SELECT *, {total("0.0::DOUBLE", ("sb", .6), ("sa", .3), ("sa AND sb AND abs(ra - rb) >= 30 AND rb < ra", .4), ("sa AND sb AND abs(ra - rb) >= 30 AND ra < rb", .2), ("len(t) = 2 AND pa <> pb", .4), ("aff", .3))} AS c FROM sg)
+SELECT record_id,
+  CASE WHEN len(t) < 2 THEN 'unknown' WHEN lb IN {_NOT_CHINESE} OR la IN {_NOT_CHINESE} THEN 'given_first' WHEN sb AND c >= 0.6::DOUBLE THEN 'family_first' WHEN sa AND NOT sb THEN 'given_first' ELSE 'unknown' END AS name_order,
+  round(CASE WHEN len(t) < 2 THEN 0.0::DOUBLE WHEN lb IN {_NOT_CHINESE} THEN 0.95::DOUBLE WHEN la IN {_NOT_CHINESE} THEN 0.9::DOUBLE WHEN sb AND c >= 0.6::DOUBLE THEN c WHEN sa AND NOT sb THEN c * 0.7::DOUBLE ELSE c END, 6) AS confidence
+FROM cf"""
+
+_COMMON = tuple(dims.WESTERN_SURNAMES)
+
+
+def _west(c: str) -> str:
+    return f"(regexp_matches(lower({c}), '{_SUFFIX}') OR regexp_matches(lower({c}), '{_CLUSTER}') OR regexp_matches(lower({c}), '[{dims.LATIN_EXTENDED}]'))"
+
+
+SQL["v7"] = f"""
+WITH RECURSIVE {AUTHORS_SQL}, {SYL},
+tk AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(name_raw, '[,()\\[\\]]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS t FROM authors),
+cl AS (SELECT *, list_filter(t, lambda x: NOT regexp_full_match(x, '{_SHORT}')) AS k FROM tk),
+ab AS (SELECT *, CASE WHEN len(k) < 2 THEN t[1] ELSE k[1] END AS a, CASE WHEN len(k) < 2 THEN t[-1] ELSE k[-1] END AS b FROM cl),
+{segments("SELECT a AS tok FROM ab UNION ALL SELECT b FROM ab")}, {AFF},
+ft AS (SELECT ab.*, lower(a) IN {tuple(D.pinyin)} AS ca, lower(b) IN {tuple(D.pinyin)} AS cb, {_west("a")} AS wa, {_west("b")} AS wb, lower(a) IN {_COMMON} AS ma, lower(b) IN {_COMMON} AS mb,
+  sa.n AS na, sb.n AS nb, coalesce(aff.is_chinese, false) AS cn_aff, coalesce(NOT aff.is_chinese, false) AS other,
+  CASE WHEN sa.n = 0 THEN 0.0 WHEN sa.n BETWEEN 2 AND 3 THEN 0.8 WHEN sa.n = 1 AND length(a) <= 4 THEN 0.5 WHEN sa.n >= 4 THEN 0.2 ELSE 0.0 END AS ga,
+  CASE WHEN sb.n = 0 THEN 0.0 WHEN sb.n BETWEEN 2 AND 3 THEN 0.8 WHEN sb.n = 1 AND length(b) <= 4 THEN 0.5 WHEN sb.n >= 4 THEN 0.2 ELSE 0.0 END AS gb
+  FROM ab LEFT JOIN seg sa ON sa.tok = a LEFT JOIN seg sb ON sb.tok = b LEFT JOIN aff ON aff.raw = affiliation_raw),
+sc AS (SELECT *, least({total("0.0::DOUBLE", ("ca", .6), ("cb", .6), ("na BETWEEN 2 AND 3", .2), ("nb BETWEEN 2 AND 3", .2), ("cn_aff", .3), ("regexp_matches(name_raw, '[一-鿿]')", .8))}, 1.0::DOUBLE) AS cn,
+  least({total("0.0::DOUBLE", *[(f"regexp_matches(lower({c}), '{p}')", .3) for p in (_CLUSTER, f"[{dims.LATIN_EXTENDED}]", _SUFFIX) for c in "ab"], ("ma", .4), ("mb", .4), ("other", .2))}, 1.0::DOUBLE) AS west FROM ft),
+md AS (SELECT *, CASE WHEN cn >= 0.7::DOUBLE AND cn >= west + 0.2::DOUBLE THEN 'Chinese' WHEN west >= 0.7::DOUBLE AND west >= cn + 0.2::DOUBLE THEN 'Western' ELSE 'Mixed' END AS m FROM sc),
+rs AS (SELECT record_id, m, CASE
+  WHEN len(t) < 2 THEN {{'o': 'unknown', 'c': 0.0::DOUBLE}}
+  WHEN (len(t) = 2 AND regexp_full_match(t[2], '{_SHORT}')) OR (len(t) >= 3 AND len(list_filter(t[2:], lambda x: NOT regexp_full_match(x, '{_SHORT}'))) = 0) THEN {{'o': 'family_first', 'c': 1.0::DOUBLE}}
+  WHEN m = 'Chinese' AND ca AND NOT cb THEN {{'o': 'family_first', 'c': least({total("0.6::DOUBLE", ("gb > 0.5", .3), ("cn_aff", .2))}, 1.0::DOUBLE)}}
+  WHEN m = 'Chinese' AND cb AND NOT ca THEN {{'o': 'given_first', 'c': least({total("0.6::DOUBLE", ("ga > 0.5", .3), ("cn_aff", .2))}, 1.0::DOUBLE)}}
+  WHEN m = 'Chinese' AND ca THEN {{'o': 'family_first', 'c': 0.7::DOUBLE}}
+  WHEN m = 'Chinese' THEN {{'o': 'unknown', 'c': CASE WHEN cn >= 0.5::DOUBLE THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END}}
+  WHEN m = 'Western' AND (wb OR mb) THEN {{'o': 'given_first', 'c': CASE WHEN wa THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END}}
+  WHEN m = 'Western' AND (wa OR ma) THEN {{'o': 'family_first', 'c': 0.6::DOUBLE}}
+  WHEN m = 'Western' AND cn < 0.6::DOUBLE THEN {{'o': 'given_first', 'c': CASE WHEN cn < 0.3::DOUBLE THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END}}
+  WHEN m = 'Western' THEN {{'o': 'unknown', 'c': 0.4::DOUBLE}}
+  WHEN ca AND NOT cb THEN {{'o': 'family_first', 'c': 0.6::DOUBLE}} WHEN cb AND NOT ca THEN {{'o': 'given_first', 'c': 0.6::DOUBLE}}
+  WHEN NOT ca THEN {{'o': 'given_first', 'c': 0.5::DOUBLE}} ELSE {{'o': 'unknown', 'c': 0.4::DOUBLE}} END AS z FROM md)
+SELECT record_id, z.o AS name_order, round(z.c, 6) AS confidence, m AS mode FROM rs"""
+
+
+# --- institutions, index, sample ------------------------------------------------------
+
+_INST = institutions.KEYWORDS
+_ALL = lit(sorted({w for ws in _INST.values() for w in ws}))
+SQL |= {
+    "institutions_found": f"""WITH {AUTHORS_SQL}, k AS (SELECT record_id, lower(coalesce(affiliation_raw, '')) AS low FROM authors),
+m AS (SELECT record_id, list_filter({_ALL}, lambda w: contains(low, w)) AS w FROM k)
+SELECT record_id, len(w) > 0 AS found, array_to_string(w, '|') AS keywords,
+  CASE WHEN len(w) = 0 THEN 0.0 WHEN list_has_any(w, {lit(_INST["top_university"])}) THEN 0.9 WHEN list_has_any(w, {lit(_INST["research"])}) THEN 0.85
+    WHEN len(w) >= 3 THEN 0.8 WHEN len(w) = 2 THEN 0.75 WHEN list_has_all({lit(_INST["country"])}, w) THEN 0.65 ELSE 0.7 END::DOUBLE AS confidence FROM m""",
+    "surname_index": f"WITH {table('s', 'hanzi, pinyin', D.surnames)} SELECT pinyin, array_to_string(list_sort(list_distinct(list(hanzi))), ' ') AS hanzi FROM s GROUP BY 1",
+    "author_sample": f"WITH {AUTHORS_SQL} SELECT record_id, name_raw FROM authors ORDER BY md5(record_id), record_id LIMIT 100",
+    "version_disagreement": f"""SELECT v3.name_order AS v3, v7.name_order AS v7, v8.name_order AS v8, count(*) AS n
+FROM ({SQL["v3"]}) v3 JOIN ({SQL["v7"]}) v7 USING (record_id) JOIN ({SQL["v8_local"]}) v8 USING (record_id) GROUP BY ALL""",
+}
