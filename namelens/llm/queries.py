@@ -109,7 +109,7 @@ z AS (SELECT *, left_over / left_weight AS level, 2.0::DOUBLE * n <= left_over /
 l AS (SELECT min(level) AS level FROM z WHERE NOT full_up
         AND 2.0::DOUBLE * n / weight = (SELECT min(2.0::DOUBLE * n / weight) FROM z WHERE NOT full_up)),
 t AS (SELECT source, n, i, CASE WHEN full_up THEN 2.0::DOUBLE * n ELSE l.level * weight END AS target FROM z LEFT JOIN l ON true),
-tot AS (SELECT sum(target ORDER BY i) AS total, greatest(1, least(2048, (sum(target ORDER BY i) // 200000)::BIGINT)) AS block FROM t),
+tot AS (SELECT sum(target ORDER BY i) AS total, greatest(1, least(2048, floor(sum(target ORDER BY i) / 200000)::BIGINT)) AS block FROM t),
 c AS (
   SELECT t.*, total, block, CASE WHEN i >= (SELECT max(i) FROM t WHERE target > 0) THEN 2147483648
          ELSE round_even(sum(target) OVER (ORDER BY i) / total * 2147483648.0, 0)::BIGINT END AS high
