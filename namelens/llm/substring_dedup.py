@@ -159,23 +159,41 @@ def covered_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """doc, tag and spans (each start * 2^24 + number of words) of the words to remove."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("key", "anchor", "content", "doc", "at")
+        seen: dict[int, int] = {}  # least doc so far of a piece, by a hash of it
+
+        def frame(parts: list[tuple]) -> pd.DataFrame:
+            a, c, doc, at = (np.concatenate(v) for v in zip(*parts, strict=True))
+            if len(seen) > 300_000:
+                seen.clear()
+            late = np.zeros(len(a), bool)
+            for i, (k, d) in enumerate(zip((mix(a) ^ c).tolist(), doc.tolist(), strict=True)):
+                least = seen.setdefault(k, d)
+                if d > least:
+                    late[i] = True
+                elif d < least:
+                    seen[k] = d
+            key = np.where(late, mix(at.view(np.uint64) ^ mix(doc.view(np.uint64))), a)
+            return pd.DataFrame(dict(zip(names, [key.view(np.int64), a.view(np.int64), c.view(np.int64), doc, at], strict=True))).assign(late=late)
+
         for b in batches:
-            parts = []
+            parts: list[tuple] = []
             for doc, text in zip(b["doc"].tolist(), b["text"], strict=True):
                 a, c, first, n = pieces_of(hash_words(byte_words(text)), window, anchor)
                 if len(a):
-                    parts.append((a.view(np.int64), c.view(np.int64), np.full(len(a), doc, np.int64), (first << 32) | (n << 24) | tag(text)))
+                    parts.append((a, c, np.full(len(a), doc, np.int64), (first << 32) | (n << 24) | tag(text)))
                 if sum(len(p[0]) for p in parts) > 100_000:
-                    yield pd.DataFrame({k: np.concatenate(v) for k, v in zip(("anchor", "content", "doc", "at"), zip(*parts, strict=True), strict=True)})
+                    yield frame(parts)
                     parts = []
             if parts:
-                yield pd.DataFrame({k: np.concatenate(v) for k, v in zip(("anchor", "content", "doc", "at"), zip(*parts, strict=True), strict=True)})
+                yield frame(parts)
 
-    p = _keyed(docs, id_col, text_col).mapInPandas(cut, "anchor long, content long, doc long, at long").repartition("anchor")
-    alike, of_anchor = Window.partitionBy("anchor", "content"), Window.partitionBy("anchor")
+    # pieces that a task has met in an earlier document are settled there; they are dealt out by themselves, so that a passage in very many documents gathers nowhere
+    p = _keyed(docs, id_col, text_col).mapInPandas(cut, "key long, anchor long, content long, doc long, at long, late boolean").repartition("key")
+    alike, of_anchor = Window.partitionBy("key", "content"), Window.partitionBy("key")
     p = p.withColumn("first_doc", F.min("doc").over(alike))
-    p = p.withColumns({"low": F.min("content").over(of_anchor), "high": F.max("content").over(of_anchor), "least": F.min("doc").over(of_anchor)})
-    settled = F.col("doc") > F.col("first_doc")
+    p = p.withColumns({"low": F.min("content").over(of_anchor), "high": F.max("content").over(of_anchor)})
+    settled = F.col("late") | (F.col("doc") > F.col("first_doc"))
     p = p.filter(settled | ((F.col("low") != F.col("high")) & (F.col("doc") == F.col("first_doc"))))
     p = saved(p.select(F.when(~settled, F.col("anchor")).alias("anchor"), F.when(~settled, F.col("content")).alias("content"), "doc", "at"), "pieces")
     span = F.shiftleft(F.shiftrightunsigned("at", 32), 24) + F.shiftrightunsigned("at", 24).bitwiseAND(F.lit(0xFF))
