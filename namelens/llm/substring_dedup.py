@@ -260,8 +260,9 @@ def _with_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """docs with n_words, n_removed and kept_text: the words that stay, joined by one space.
 
-    docs must not have columns of these names; other columns are kept.
+    Columns of docs with these names are replaced; other columns are kept.
     """
+    docs = docs.drop("n_words", "n_removed", "kept_text")
     spans = covered_spans(docs, id_col=id_col, text_col=text_col, **params).withColumnRenamed("doc", "__doc").withColumnRenamed("tag", "__tag")
     # the text's tag is made in Python, so that a document meets the spans of its doc_id and picks its own there
     lists = spans.groupBy("__doc").agg(F.collect_list(F.struct("__tag", "spans")).alias("__spans"))
