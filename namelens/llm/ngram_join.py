@@ -134,9 +134,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = d.join(alive.select("doc", "c1"), "doc").mapInPandas(sets_of, "doc long, tokens array<long>")
     sets = saved(sets, "join-sets")
     # 3. document frequencies among what is left, and prefixes
-    # dealt out once: the counts and the rows that they join both read this exchange
+    # dealt out once: the counts (of doc, so that it is the same exchange) and the rows that they join both read it
     t = sets.select("doc", F.explode("tokens").alias("token")).repartition("token")
-    df = t.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
+    df = t.groupBy("token").agg(F.count("doc").cast("int").alias("df")).filter("df > 1")
     lists = t.join(df, "token").groupBy("doc").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
