@@ -160,7 +160,9 @@ def learn(
         probs = [i / bins for i in range(1, bins)]
         # quantiles of each class, so that thresholds between a rare class and the other exist
         q = x.groupBy("bad").agg(*[F.percentile_approx(k, probs, 1000).alias(k) for k in FEATURES]).collect()
-        cuts = {k: sorted({float(v) for r in q for v in (r[k] or [])}) for k in FEATURES}
+        values = {k: sorted({float(v) for r in q for v in (r[k] or [])}) for k in FEATURES}
+        # halfway between neighbours, so that a rule leaves room beside the rows it was learned from
+        cuts = {k: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for k, v in values.items()}
         # the bin of a value: how many cuts lie below it
         bin_of = [F.struct(F.lit(k).alias("f"), F.size(F.filter(F.array(*map(F.lit, v)), _below(k))).alias("b")) for k, v in cuts.items() if v]
         if not bin_of or len(q) < 2:
