@@ -53,7 +53,7 @@ def affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pinyin_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).distinct()
-    w = pinyin.with_syllables(w.filter(F.length("token") <= 12), s="token")
+    w = pinyin.with_syllables(w, s="token")
     return w.select("token", (F.size("s") > 0).alias("valid"), F.size("s").cast("long").alias("n_syllables"), F.array_join("s", " ").alias("syllables"))
 
 
