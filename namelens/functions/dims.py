@@ -73,9 +73,13 @@ TRADITIONAL = {
         x.split(":")
         for x in """
 lee:李:li chang:张:zhang wang:王:wang chen:陈:chen lin:林:lin huang:黄:huang wu:吴:wu cheng:郑:zheng liu:刘:liu yang:杨:yang
-hsu:徐:xu hsieh:谢:xie chu:朱:zhu chao:赵:zhao sun:孙:sun ma:马:ma kao:高:gao chou:周:zhou chiang:蒋:jiang shen:沈:shen
-tsai:蔡:cai tseng:曾:zeng han:韩:han tang:唐:tang feng:冯:feng yu:于:yu tung:董:dong hsiao:萧:xiao chung:钟:zhong pan:潘:pan
-liang:梁:liang tien:田:tian fan:范:fan yen:严:yan lu:陆:lu shih:施:shi mao:毛:mao hao:郝:hao tai:戴:dai wan:万:wan
+hsu:徐:xu hsieh:谢:xie chu:朱:zhu chao:赵:zhao sun:孙:sun ma:马:ma kao:高:gao chou:周:zhou chiang:蒋:jiang shen:沈:shen tsai:蔡:cai
+tseng:曾:zeng han:韩:han tang:唐:tang feng:冯:feng yu:于:yu tung:董:dong hsiao:萧:xiao chung:钟:zhong pan:潘:pan liang:梁:liang
+tien:田:tian fan:范:fan yen:严:yan lu:陆:lu shih:施:shi mao:毛:mao hao:郝:hao tai:戴:dai wan:温:wen wong:王/黄:wang/huang
+chan:陈:chen lam:林:lin ng:黄:huang cheung:张:zhang leung:梁:liang choi:蔡:cai tsang:曾:zeng yip:叶:ye lau:刘:liu mak:麦:mai
+tse:谢:xie yeung:杨:yang tam:谭:tan poon:潘:pan fong:方:fang ho:何:he au:区:ou ko:高:gao lok:骆:luo siu:萧:xiao tong:唐:tang
+lim:林:lin tan:陈:chen ong:王:wang teo:张:zhang goh:吴:wu koh:许:xu tay:郑:zheng ang:洪:hong foo:傅:fu kwa:柯:ke sim:沈:shen
+toh:卓:zhuo liou:刘:liu liew:刘:liu shieh:谢:xie hwang:黄:huang soong:宋:song lai:赖:lai yee:余:yu yuen:袁:yuan
 """.split()
     )
 }
@@ -149,26 +153,64 @@ GIVEN_SYLLABLES = (
 
 # --- surnames: a default for the parameter of Dictionary --------------------------
 
-#: Common surnames with their readings; doubled characters with two readings stand twice.
+#: The 401 surnames with their readings, common ones first; characters with two readings stand twice.
 COMMON_SURNAMES = """
-王 wang 李 li 张 zhang 刘 liu 陈 chen 杨 yang 黄 huang 赵 zhao 吴 wu 周 zhou 徐 xu 孙 sun 马 ma 朱 zhu 胡 hu 郭 guo 何 he 高 gao 林 lin
-罗 luo 郑 zheng 梁 liang 谢 xie 宋 song 唐 tang 许 xu 邓 deng 韩 han 冯 feng 曹 cao 彭 peng 曾 ceng 曾 zeng 肖 xiao 田 tian 董 dong
+王 wang 李 li 张 zhang 刘 liu 陈 chen 杨 yang 黄 huang 赵 zhao 吴 wu 周 zhou 徐 xu 孙 sun 马 ma 朱 zhu 胡 hu 郭 guo 何 he 高 gao
+林 lin 罗 luo 郑 zheng 梁 liang 谢 xie 宋 song 唐 tang 许 xu 邓 deng 韩 han 冯 feng 曹 cao 彭 peng 曾 ceng 曾 zeng 肖 xiao 田 tian 董 dong
 潘 pan 袁 yuan 蔡 cai 蒋 jiang 余 yu 于 yu 杜 du 叶 ye 程 cheng 魏 wei 苏 su 吕 lv 丁 ding 任 ren 卢 lu 姚 yao 沈 shen 钟 zhong
 姜 jiang 崔 cui 谭 tan 陆 lu 范 fan 汪 wang 廖 liao 石 shi 金 jin 韦 wei 贾 jia 夏 xia 傅 fu 方 fang 邹 zou 熊 xiong 白 bai 孟 meng
 秦 qin 邱 qiu 侯 hou 江 jiang 尹 yin 薛 xue 阎 yan 段 duan 雷 lei 龙 long 黎 li 史 shi 陶 tao 贺 he 毛 mao 郝 hao 顾 gu 邵 shao
 万 wan 钱 qian 严 yan 武 wu 戴 dai 莫 mo 孔 kong 向 xiang 常 chang 汤 tang 温 wen 康 kang 施 shi 文 wen 牛 niu 樊 fan 葛 ge 邢 xing
 安 an 齐 qi 易 yi 乔 qiao 伍 wu 庞 pang 颜 yan 倪 ni 庄 zhuang 聂 nie 章 zhang 鲁 lu 岳 yue 翟 di 翟 zhai 申 shen 欧 ou 耿 geng
-关 guan 兰 lan 焦 jiao 俞 yu 左 zuo 柳 liu 甘 gan 祝 zhu 包 bao 宁 ning 符 fu 阮 ruan 纪 ji 梅 mei 童 tong 凌 ling 毕 bi 单 shan
-裴 pei 霍 huo 成 cheng 苗 miao 谷 gu 盛 sheng 曲 qu 翁 weng 冉 ran 骆 luo 蓝 lan 路 lu 游 you 靳 jin 管 guan 柴 chai 蒙 meng 薄 bo
-明 ming 欧阳 ouyang 司马 sima 上官 shangguan 诸葛 zhuge 司徒 situ 慕容 murong 令狐 linghu 尉迟 yuchi 皇甫 huangfu 夏侯 xiahou
+关 guan 焦 jiao 俞 yu 左 zuo 柳 liu 甘 gan 祝 zhu 包 bao 宁 ning 符 fu 阮 ruan 纪 ji 梅 mei 童 tong 凌 ling 毕 bi 裴 pei 霍 huo
+成 cheng 苗 miao 谷 gu 盛 sheng 曲 qu 翁 weng 冉 ran 骆 luo 蓝 lan 路 lu 游 you 管 guan 柴 chai 薄 bo 明 ming 丑 chou 丘 qiu 丛 cong
+东 dong 乐 le 习 xi 云 yun 井 jing 仇 chou 仇 qiu 从 cong 仲 zhong 伏 fu 佘 she 修 xiu 储 chu 充 chong 全 quan 养 yang 农 nong 况 kuang
+冷 leng 冼 xian 凤 feng 刀 dao 刁 diao 别 bie 力 li 劳 lao 匡 kuang 区 qu 区 ou 华 hua 卓 zhuo 南 nan 卜 bu 卞 bian 占 zhan 危 wei
+历 li 双 shuang 古 gu 司 si 吉 ji 后 hou 商 shang 国 guo 坤 kun 墨 mo 多 duo 姬 ji 娄 lou 宗 zong 定 ding 宣 xuan 宫 gong 宾 bin
+寇 kou 富 fu 封 feng 居 ju 屈 qu 山 shan 巩 gong 巫 wu 巴 ba 帅 shuai 席 xi 干 gan 幸 xing 应 ying 廉 lian 弓 gong 强 qiang 律 lv
+怀 huai 惠 hui 戚 qi 房 fang 才 cai 扶 fu 揭 jie 敖 ao 敦 dun 时 shi 昊 hao 昌 chang 晁 chao 晋 jin 晏 yan 景 jing 暴 bao 杭 hang
+杰 jie 松 song 柏 bai 查 cha 查 zha 柯 ke 栾 luan 桂 gui 桑 sang 桓 huan 楚 chu 步 bu 殷 yin 母 mu 水 shui 池 chi 沙 sha 洪 hong
+浦 pu 涂 tu 滕 teng 满 man 牟 mou 狄 di 班 ban 甄 zhen 皮 pi 盖 gai 盖 ge 相 xiang 祁 qi 祖 zu 福 fu 禹 yu 穆 mu 窦 dou
+端 duan 竺 zhu 简 jian 米 mi 索 suo 缪 miao 羊 yang 臧 zang 舒 shu 艾 ai 芮 rui 花 hua 苍 cang 苟 gou 英 ying 茅 mao 荀 xun 荆 jing
+荣 rong 蒲 pu 虞 yu 衡 heng 褚 chu 詹 zhan 计 ji 谈 tan 豪 hao 贝 bei 贡 gong 贲 ben 费 fei 赖 lai 赫 he 超 chao 车 che 辛 xin
+边 bian 连 lian 迟 chi 邝 kuang 邬 wu 郎 lang 鄂 e 酆 feng 闫 yan 闵 min 闻 wen 隋 sui 鞠 ju 项 xiang 饶 rao 鱼 yu 鲍 bao 鲜 xian
+麦 mai 麻 ma
+欧阳 ouyang 司马 sima 上官 shangguan 诸葛 zhuge 司徒 situ 慕容 murong 令狐 linghu 尉迟 yuchi 皇甫 huangfu 夏侯 xiahou 万俟 moqi 东方 dongfang 东郭 dongguo 东野 dongye 东门 dongmen 主父 zhufu 仲孙 zhongsun 公冶 gongye
+公孙 gongsun 公户 gonghu 公羊 gongyang 公良 gongliang 公西 gongxi 单于 chanyu 南宫 nangong 司寡 sigua 司空 sikong 呼延 huyan 墨哈 moha 太叔 taishu 宇文 yuwen 宗政 zongzheng 宰父 zaifu 左丘 zuoqiu 巫马 wuma 微生 weisheng
+梁丘 liangqiu 段干 duangan 毌丘 guanqiu 淳于 chunyu 漆雕 qidiao 澹台 tantai 濮阳 puyang 爱新觉罗 aixinjueluo 独孤 dugu 申屠 shentu 百里 baili 端木 duanmu 第二 dier 第五 diwu 第八 diba 羊舌 yangshe 羊角 yangjiao 西门 ximen
+谷利 guli 谷梁 guliang 赫连 helian 轩辕 xuanyuan 钦明 qinming 长孙 zhangsun 闻人 wenren 闾丘 lvqiu 鲜于 xianyu
 """
 
-#: Some surnames of other languages as the default of that parameter, by origin in order of priority.
+#: Surnames of other languages as the default of that parameter, by origin in order of priority.
 FOREIGN_SURNAMES = {
-    "Japanese": "tanaka suzuki sato yamamoto watanabe ito nakamura kobayashi kato yoshida yamada sasaki".split(),
-    "Korean": "kim park choi jung kang cho yoon jang lim".split(),
-    "European": "bond lamberty smith johnson muller schmidt ivanov petrov rossi dubois garcia kowalski".split(),
-    "Indian": "singh kumar sharma patel gupta reddy rao".split(),
+    "Japanese": """
+abe adachi akiyama aoki asada atari deguchi eguchi ehara fujii fujita goto gunji hada harada hase hashimoto hatano hayashi honma hoshino
+ibata ichida ikeda imai imamura inaba inoue ishii ito iwakiri kaneko kato kikuchi kimura kino kobayashi kofuji koiso kojima kokudo
+koyama kubo kurita machida maeda masetti matsuda matsumoto mishima miyata mizuno mori morino morise mukai murata nagai nakamura niwa oda
+ogawa ohyama okada okawa okino omura oshima oyama ozaki saigo saito sakai sasada sasaki sato shibata shimizu shiomi shoji sugioka sunami
+suzuki tada takagi takahashi takeda tanaka tawara taya tazaki terada tohjima toma tsuruta uchino ueda ueno wada watanabe yamada yamamoto
+yokota yoshida
+""".split() + ["nakao ka", "yoko ta"],
+    "Korean": """
+ahn baek byun cho choi chung ha hwang jang jeon jeong jo jung kang kim ko kwon lee lim moon nam oh park ryu seo shin son yoo yoon
+""".split(),
+    "European": """
+adrianov allen almeida anderson aydi baker bakker baldetorp baron barr bauer baumann becker berger bernard blaiszik bond bowen brillault
+brown brumpton bruno buchner byrne büchner büttner cameron cappellaro chapman cohen cooper costa dao davis dawson dubois durand farmer
+fernandez ferrari finlay fischer fisher gallo garcia gatto gerber geyer gilmore gonzalez gotzkow graikou greco hahn hammer hansen harris
+hauser helmy hoang hofer hoffmann huber hutter huybrechs hübner ivanenkov ivanov jackson jansen janssen jeha jensen johansson johnson
+jones jonsson junge jäger jönsson kaiser kankare karamehmetoglu keller kerr kessler king klein koch kovacs kowalski kramer krause krug
+könig lamberty larsson le lehmann levin levitan lohmann lopez maggi mahler maier marino martin martinez mason maurer mayer meier melin
+meyer miller moore moreau moreno morgan mueller müller neumann newman ngo nguyen nielsen nilsson novak olsen olsson pearson pereira
+perez perrin petit petrov phan popov poulter prather reiter ribeiro ricci richard richter riu robert robin rodriguez romano rosenbloom
+rossi rowe russo ryan salgado sanchez schmidt schneider schulz schweizer schäfer sears silva simon simpson smith sommer sousa stappers
+sutter taylor teh thomas thompson tran turner unger urban vieira vu wagner walker warneke warren weber weiler weller white williams
+wilson wörner young
+""".split() + ["de jong", "de vries", "van den berg", "van dijk"],
+    "Indian": """
+amin basu bose desai dutta goswami gupta iyer jain joshi khan kumar mehta mishra misra narayan patel rana raza saha sharma singh tiwari
+verma
+""".split(),
 }
 
 # --- pinyin: initials, the finals that each takes, and the Cyrillic forms -----------
