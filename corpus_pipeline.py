@@ -22,7 +22,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 and more), the one with the least doc_id."""
-    groups = ngram_join.near_duplicates(docs, k=5, percent=80)
+    groups = ngram_join.near_duplicates(docs, k=5, percent=80, counts=False)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     stay = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     return stay.dropDuplicates(["doc_id"])

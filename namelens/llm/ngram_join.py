@@ -1,7 +1,7 @@
 """Operator 6: join of documents whose sets of word shingles have a high Jaccard similarity.
 
 Two documents link when 100 * intersection >= percent * union. All links between
-different sets are found, by filters that lose none:
+different sets are counted, and components found by filters that lose no link:
 
 1. Documents with equal sets become one class; its smallest doc_id stands for it.
 2. A document that links with any other has at most (100 - percent) % shingles
@@ -91,8 +91,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (least doc_id of the documents with an equal set) and n_links between different sets found."""
+def degrees(labels: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """rep, n_links: how many documents each one links with; labels are the exact components of links.
+
+    Both ends of a link are in one component, so its documents alone meet: all of
+    them, in blocks of about `block` documents (or 1 M shingles), a task for each
+    pair of blocks. In a component of two, the two link.
+    """
+    x = labels.join(sets.select("doc", F.size("tokens").cast("long").alias("n")), "doc")
+    sizes = x.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    sizes = sizes.select("component", "m", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / 1_000_000)).alias("blocks"))
+    x = saved(x.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks")), "join-blocks")
+    two = x.filter("m = 2").select(F.col("doc").alias("rep"), F.lit(1).cast("long").alias("n_links"))
+    more = x.filter("m > 2").select("doc", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    more = more.select("doc", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "doc")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+        sets = right["tokens"].tolist()
+        n = np.array([len(s) for s in sets], np.int64)
+        # the documents of the right block by shingle
+        tokens = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], np.repeat(np.arange(len(sets)), n)[order]
+        docs, into, got = right["doc"].to_numpy(), np.zeros(len(sets), np.int64), []
+        for doc, s in zip(left["doc"].tolist(), left["tokens"], strict=True):
+            at, end = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+            reps = end - at
+            pos = np.repeat(at - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+            both = np.bincount(owners[pos], minlength=len(sets))
+            hit = (100 * both >= percent * (len(s) + n - both)) & (docs != doc)
+            into += hit
+            got.append(hit.sum())
+        out = pd.DataFrame({"rep": left["doc"].to_numpy(), "n_links": np.array(got, np.int64)})
+        return out if i == j else pd.concat([out, pd.DataFrame({"rep": docs, "n_links": into})])
+
+    counted = more.groupBy("component", "i", "j").applyInPandas(count, "rep long, n_links long")
+    return two.unionByName(counted).groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, counts: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least doc_id of the documents with an equal set) and, with counts, n_links (how many different sets its set links with)."""
     share = min(1.0, 2.0 * (100 - percent) / 100)
     limit = int(share * (1 << 32))
 
@@ -179,9 +219,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = saved(_verified(more, sets, percent), "join-more")
     links = links.unionByName(more)
     labels = components(links, "join-second")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    reps = classes.select("c1", "c2", "rep").join(labels.withColumnRenamed("doc", "rep"), "rep", "left").join(degree, "rep", "left")
+    reps = classes.select("c1", "c2", "rep").join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
+    if counts:
+        reps = reps.join(saved(degrees(labels, sets, percent), "join-degrees"), "rep", "left")
     out = members.join(reps, ["c1", "c2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
     back = lambda c: F.when(c != _NULL, c)
-    return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(own).alias("component_id"), back(F.coalesce("rep", "doc")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []
+    return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(own).alias("component_id"), back(F.coalesce("rep", "doc")).alias("class_id"), *more)
