@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namelens.llm import ngram_join, packing, quality_rules, source_mixing, substring_dedup
-from namelens.llm.common import saved, table
+from namelens.llm.common import SPACE, saved, table
 from namelens.llm.queries import tokenizer_path
 
 
@@ -21,11 +21,19 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 and more), the one with the least doc_id."""
-    groups = ngram_join.near_duplicates(docs, k=5, percent=80, counts=False)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    stay = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    """Of each group of near copies (five-word shingles, similarity 0.8 and more), the one with the least doc_id.
+
+    Rows are told apart by doc_id and text, so null and reused ids lose no other
+    text. Blank texts link with nothing and stay.
+    """
+    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE)) == ""
+    keyed = docs.filter(~blank).withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = ngram_join.near_duplicates(keyed, id_col="__key", k=5, percent=80, counts=False)
+    groups = groups.select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    ids = keyed.select("__key", "doc_id").distinct()
+    first = ids.join(groups, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("least")).select("least.__key")
+    stay = keyed.join(first, "__key", "left_semi").dropDuplicates(["__key", "doc_id", "text"]).drop("__key")
+    return stay.unionByName(docs.filter(blank))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
