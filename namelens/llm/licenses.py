@@ -71,14 +71,12 @@ def matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         low, high = min(r["size"] for r in known) * least / (2 - least), max(r["size"] for r in known) * (2 - least) / least
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
-    # a passage of g distinct bigrams has more than g words; the upper bound needs the distinct ones, so only the lower one prunes by words
     units = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))
     d = docs.select(F.col(id_col).alias("doc_id"), units.alias("units"))
     d = d.select("doc_id", F.posexplode("units").alias("line", "unit"))
-    # as a first bound on words: at most `high` distinct bigrams; repeated ones are rare, so up to 4 times as many words are looked at in lines, and all in whole texts of one line
-    spaces = F.length("unit") - F.length(F.translate("unit", " ", ""))
-    d = d.filter(spaces >= int(low)) if known else d.filter(F.lit(False))
+    # a passage of g distinct bigrams has more than g words, counted once it is normalised
     d = d.select("doc_id", "line", F.split(normalised(F.col("unit")), " ").alias("w"))
+    d = d.filter(F.size("w") > low) if known else d.filter(F.lit(False))
     d = d.select("doc_id", "line", _bigrams(F.col("w")).alias("g"))
     d = d.filter((F.size("g") >= low) & (F.size("g") <= high) & (F.size(F.array_intersect("g", F.array(*map(F.lit, known_grams)))) > 0))
     a, b = F.size("g"), F.col("size")

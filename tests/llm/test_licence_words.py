@@ -1,0 +1,10 @@
+"""Licence notices whose words are not separated by spaces."""
+
+from namelens.llm import licenses
+
+
+def test_words_are_counted_after_normalisation(spark):
+    notice = "Released under the MIT License."
+    texts = [notice.replace(" ", "\t"), "code\n" + notice.replace(" ", "-") + "\nmore", notice.replace(" ", " "), "Licensed\tunder\tthe\tApache\tLicense,\tVersion\t2.0."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["licence"] for r in licenses.scan(d).orderBy("doc_id").collect()] == ["MIT", "MIT", "MIT", "Apache-2.0"]
