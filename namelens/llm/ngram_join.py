@@ -1,25 +1,29 @@
 """Operator 6: join of documents whose sets of word shingles have a high Jaccard similarity.
 
-Two documents link when 100 * intersection >= percent * union. All links between
-different sets are counted, and components found by filters that lose no link:
-
-1. Documents with equal sets become one class; its smallest doc_id stands for it.
-2. A document that links with any other has at most (100 - percent) % shingles
-   of its own. Over a fixed share of all shingles, chosen by hash, documents with
-   more than that many shingles that no other class has are dropped.
-3. Of the rest, shingles are ordered by document frequency, then by a hash: one
-   order per hash. In each order, a linked pair shares a shingle within both
-   prefixes. Candidates meet at a prefix shingle of the first order, where sizes
-   and positions bound the overlap, and must also share prefix bits of each
-   further order. Rare shingles come first in all orders, so passages that many
-   documents share give no candidates by themselves.
-4. Candidates are verified on whole sets. Not all pairs of a list are: at first,
-   each list links its members to one centre; then only members of lists that
-   still hold several components meet those of other components.
-
-Defined results: null and blank texts have an empty set and are linked with
-nothing; a null doc_id is its own key, before all others; repeated rows share a
-component; an empty table gives no rows; other columns are ignored.
+Two documents link when 100 * intersection >= percent * union. Nodes are classes
+of documents with equal sets (told apart by a 64-bit digest, as shingles are),
+so null or reused ids join nothing. No filter loses a link:
+
+1. Under any global order of shingles, a linked pair shares one within the
+   first n - ceil(percent * n / 100) + 1 of each. Three orders are used: by how
+   common a shingle is (the logarithm of a count sketch over all documents,
+   then a hash), and by two hashes alone. Candidates meet at a prefix shingle
+   of the first order, where sizes and places bound the overlap; they must also
+   share bits of both other prefixes, and the parity bits of their whole sets
+   may differ in no more places than the sets may. Only what passes all is verified.
+2. Not all pairs of a list are candidates. Over some rounds each list links its
+   members to one centre. Then, in lists that still hold several components,
+   members outside the largest one meet the members of other components.
+3. Lists where that would still be many pairs (a shingle in very many documents
+   that are not alike) are replaced by narrower ones: shingles are dealt by hash
+   into one part more than the sets of a linked pair can differ in, so such a
+   pair is alike in all shingles of some part, and meets at that part's hash.
+
+Defined results: null and blank texts have an empty set and link with nothing;
+rows with a null doc_id are documents like others, and a component's id is its
+least doc_id that is not null; rows that share an id but not the text are
+different documents; repeated rows share a class; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +38,16 @@ from pyspark.sql import functions as F
 
 from namelens.llm.common import gram_hashes, hash_words, lower_ascii_words, mix, saved
 
-_NULL = -(1 << 63)
-#: Seeds of the further orders; each adds a bitmap of BITS longs to a prefix row.
+#: Seeds of the two orders by hash, and the longs of a prefix's bitmap and of the parity bitmap.
 ORDERS = (0x51ED270B, 0x2545F491)
-BITS = 2
+BITS, PARITY = 2, 4
+#: Counters of the sketch, a power of two: four bytes each in a task, one byte each when broadcast.
+WIDTH = 1 << 20
+CHUNK = 1 << 14
+#: Rounds of centres, and the pairs that a list may still make after them.
+ROUNDS = 3
+MOST_PAIRS = 2_000_000
+SIGNATURE = [*(f"o{j}_{i}" for j in range(len(ORDERS)) for i in range(BITS)), *(f"y{i}" for i in range(PARITY))]
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -49,8 +59,65 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(gram_hashes(h, k) if len(h) >= k else gram_hashes(h, len(h), 2 * len(h) + 1)).view(np.int64)
 
 
+def class_of(s: np.ndarray) -> int:
+    """A 64-bit digest of a set."""
+    return int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), ">i8")[0])
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1
+
+
+def signature(s: np.ndarray, percent: int) -> list[int]:
+    """Bitmaps of the prefixes under the orders by hash, then the parity bitmap of the whole set."""
+    p, out, t = prefix_length(len(s), percent), [], s.view(np.uint64)
+    for seed in ORDERS:
+        o = mix(t ^ np.uint64(seed))
+        first = np.partition(o, p - 1)[:p] if p < len(o) else o
+        bits = np.zeros(64 * BITS, np.uint8)
+        bits[(first % np.uint64(64 * BITS)).astype(np.int64)] = 1
+        out += np.packbits(bits).view(np.int64).tolist()
+    odd = np.bincount((t >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return out + np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def prefix_of(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The first shingles in the order by commonness; ties, 1 in 2^56, keep the order of s."""
+    t = s.view(np.uint64)
+    order = (common[(t % np.uint64(len(common))).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(t) >> np.uint64(8))
+    return s[np.argsort(order, kind="stable")[: prefix_length(len(s), percent)]]
+
+
+def size_classes(n: int, percent: int) -> list[tuple[int, int]]:
+    """(class, parts) of the two size classes where a set of n meets all that it may link with.
+
+    A class starts just beyond 100 / percent times the start of the one before, so
+    linked sets are in one class or in neighbours; parts is one more than the
+    elements in which linked sets may differ if the smaller is in the class.
+    """
+    i, low, before = 0, 1, None
+    while True:
+        high = low * 100 // percent + 1
+        most = high - 1
+        here = (i, (most + most * 100 // percent) * (100 - percent) // (100 + percent) + 1)
+        if n < high:
+            return [here] if before is None else [before, here]
+        i, low, before = i + 1, high, here
+
+
+def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """A hash of the shingles in each part, for both size classes of the set."""
+    t, keys = s.view(np.uint64), []
+    for c, parts in size_classes(len(s), percent):
+        part = (mix(t ^ np.uint64(77)) % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, part, mix(t ^ np.uint64(99)))
+        keys.append(mix(sums ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32))))
+    return np.concatenate(keys).view(np.int64)
+
+
 def components(edges: DataFrame, what: str) -> DataFrame:
-    """doc, component (least doc that links reach) of the documents in edges (a, b).
+    """doc, component (least node that links reach) of the nodes in edges (a, b).
 
     Minimum labels go along links and along labels (pointer jumping) until none changes.
     """
@@ -68,162 +135,230 @@ def components(edges: DataFrame, what: str) -> DataFrame:
             return labels
 
 
-def _compatible(a: str, b: str, percent: int) -> Column:
-    """Whether rows a and b of one prefix shingle may be a linked pair's first shared shingle."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    # least overlap: ceil(percent * (na + nb) / (100 + percent))
+def _may_meet(a: str, b: str, percent: int) -> Column:
+    """Whether rows a and b of one list may hold a linked pair's first shared shingle."""
     need = F.expr(f"({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}")
-    ok = (need <= F.least(na, nb)) & (F.col(f"{a}.pos") <= na - need) & (F.col(f"{b}.pos") <= nb - need)
+    return (need <= F.least(f"{a}.n", f"{b}.n")) & (F.col(f"{a}.pos") <= F.col(f"{a}.n") - need) & (F.col(f"{b}.pos") <= F.col(f"{b}.n") - need)
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether signatures a and b may be those of a linked pair."""
+    ok = F.lit(True)
     for j in range(len(ORDERS)):
         shared = F.lit(False)
         for i in range(BITS):
             shared = shared | (F.col(f"{a}.o{j}_{i}").bitwiseAND(F.col(f"{b}.o{j}_{i}")) != 0)
         ok = ok & shared
-    return ok
+    odd = sum((F.bit_count(F.col(f"{a}.y{i}").bitwiseXOR(F.col(f"{b}.y{i}"))) for i in range(PARITY)), F.lit(0))
+    return ok & (odd <= F.expr(f"({100 - percent} * ({a}.n + {b}.n)) div {100 + percent}"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb"))
-    x = pairs.join(left, "a").join(right, "b")
+    """The distinct pairs (a, b) that link. A set that very many others meet (a centre's) is dealt out in copies."""
+    often = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("copies"))
+    left = sets.join(often, F.col("c") == F.col("a")).select("a", F.col("tokens").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    x = pairs.join(often, "a").withColumn("copy", F.pmod(F.hash("b"), "copies")).drop("copies")
+    x = x.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b").join(left, ["a", "copy"])
     x = x.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"), (F.size("ta") + F.size("tb")).cast("long").alias("sum"))
     return x.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def degrees(labels: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """rep, n_links: how many documents each one links with; labels are the exact components of links.
+def degrees(labels: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """c, n_links: how many others each class links with; labels are the exact components of links.
 
-    Both ends of a link are in one component, so its documents alone meet: all of
-    them, in blocks of about `block` documents (or 1 M shingles), a task for each
-    pair of blocks. In a component of two, the two link.
+    Both ends of a link are in one component, so its classes alone meet: all of
+    them, in blocks of about `block` classes (or 1 M shingles), a task for each
+    pair of blocks. There each set is what it lacks of one set of the block and
+    what it adds, which near copies have little of; a pair's overlap follows from
+    how many of these it shares. In a component of two, the two link.
     """
-    x = labels.join(sets.select("doc", F.size("tokens").cast("long").alias("n")), "doc")
+    x = labels.withColumnRenamed("doc", "c").join(sets.select("c", F.size("tokens").cast("long").alias("n")), "c")
     sizes = x.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     sizes = sizes.select("component", "m", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / 1_000_000)).alias("blocks"))
-    x = saved(x.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks")), "join-blocks")
-    two = x.filter("m = 2").select(F.col("doc").alias("rep"), F.lit(1).cast("long").alias("n_links"))
-    more = x.filter("m > 2").select("doc", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    more = more.select("doc", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "doc")
+    x = saved(x.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("c"), "blocks")), "join-blocks")
+    two = x.filter("m = 2").select("c", F.lit(1).cast("long").alias("n_links"))
+    more = x.filter("m > 2").select("c", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    more = more.select("c", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "c")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        sets = right["tokens"].tolist()
-        n = np.array([len(s) for s in sets], np.int64)
-        # the documents of the right block by shingle
-        tokens = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owners = tokens[order], np.repeat(np.arange(len(sets)), n)[order]
-        docs, into, got = right["doc"].to_numpy(), np.zeros(len(sets), np.int64), []
-        for doc, s in zip(left["doc"].tolist(), left["tokens"], strict=True):
-            at, end = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
-            reps = end - at
-            pos = np.repeat(at - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
-            both = np.bincount(owners[pos], minlength=len(sets))
-            hit = (100 * both >= percent * (len(s) + n - both)) & (docs != doc)
-            into += hit
-            got.append(hit.sum())
-        out = pd.DataFrame({"rep": left["doc"].to_numpy(), "n_links": np.array(got, np.int64)})
-        return out if i == j else pd.concat([out, pd.DataFrame({"rep": docs, "n_links": into})])
-
-    counted = more.groupBy("component", "i", "j").applyInPandas(count, "rep long, n_links long")
-    return two.unionByName(counted).groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, counts: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (least doc_id of the documents with an equal set) and, with counts, n_links (how many different sets its set links with)."""
-    share = min(1.0, 2.0 * (100 - percent) / 100)
-    limit = int(share * (1 << 32))
+        base = pdf["tokens"].iloc[0]
+
+        def apart(rows: pd.DataFrame) -> tuple:
+            """Classes, sizes, sizes of the overlap with base, and what sets add to or lack of it (as values and owners)."""
+            sets = rows["tokens"].tolist()
+            added = [np.setdiff1d(s, base, assume_unique=True) for s in sets]
+            lacks = [np.setdiff1d(base, s, assume_unique=True) for s in sets]
+            n = np.array([len(s) for s in sets], np.int64)
+            shared = n - np.array([len(a) for a in added], np.int64)
+            flat = [(np.concatenate(v) if v else np.zeros(0, np.int64), np.repeat(np.arange(len(v)), [len(a) for a in v])) for v in (added, lacks)]
+            return rows["c"].to_numpy(), n, shared, flat
+
+        c, n, s, lists = apart(pdf[pdf["own"] == i])
+        d, m, t, others = (c, n, s, lists) if i == j else apart(pdf[pdf["own"] == j])
+        # |x & y| = |x & base| + |y & base| - |base| + elements that both lack + elements that both add
+        both = s[:, None] + t[None, :] - len(base)
+        for (v, owner), (w, at) in zip(lists, others, strict=True):
+            order = np.argsort(w, kind="stable")
+            w, at = w[order], at[order]
+            low = np.searchsorted(w, v, "left")
+            reps = np.searchsorted(w, v, "right") - low
+            pos = np.repeat(low - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+            np.add.at(both, (np.repeat(owner, reps), at[pos]), 1)
+        hit = (100 * both >= percent * (n[:, None] + m[None, :] - both)) & (c[:, None] != d[None, :])
+        out = pd.DataFrame({"c": c, "n_links": hit.sum(1)})
+        return out if i == j else pd.concat([out, pd.DataFrame({"c": d, "n_links": hit.sum(0)})])
+
+    counted = more.groupBy("component", "i", "j").applyInPandas(count, "c long, n_links long")
+    return two.unionByName(counted).groupBy("c").agg(F.sum("n_links").alias("n_links"))
+
+
+def _commonness(members: DataFrame) -> np.ndarray:
+    """For each counter of the sketch, 4 times the logarithm of its count: WIDTH bytes, whatever the corpus."""
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, counts in zip(b["chunk"].tolist(), b["counts"], strict=True):
+                x = np.frombuffer(counts, np.int32).astype(np.int64)
+                sums[at] = sums[at] + x if at in sums else x
+        yield pd.DataFrame({"chunk": list(sums), "levels": [np.round(4 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in sums.values()]}, columns=["chunk", "levels"])
+
+    levels = np.zeros(WIDTH, np.uint8)
+    parts = members.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInPandas(added, "chunk int, levels binary")
+    for r in parts.collect():  # WIDTH bytes in all
+        levels[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["levels"], np.uint8)
+    return levels
+
+
+def _links_to_centres(rows: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, seed: int, what: str) -> DataFrame:
+    """Verified links (a, b) of each list's members with one of them; rows may have labels, within which none is sought."""
+    by = F.xxhash64("c", F.lit(seed))
+    extra = ["component"] if "component" in rows.columns else []
+    centre = rows.groupBy("token").agg(F.min(F.struct(by.alias("by"), "c", "n", "pos", *extra)).alias("y"))
+    x = rows.alias("x").join(centre, "token").filter(F.col("x.c") != F.col("y.c"))
+    if extra:
+        x = x.filter(F.col("x.component") != F.col("y.component"))
+    pairs = x.filter(_may_meet("x", "y", percent)).select(F.col("y.c").alias("a"), F.col("x.c").alias("b")).distinct()
+    pairs = pairs.join(signs.alias("x"), F.col("b") == F.col("x.c")).join(signs.alias("y"), F.col("a") == F.col("y.c")).filter(_alike("x", "y", percent)).select("a", "b")
+    return saved(_verified(saved(pairs, what + "-pairs"), sets, percent), what)
+
+
+def _mixed(rows: DataFrame, labels: DataFrame, what: str) -> DataFrame:
+    """The rows of lists that hold several components: with component, the list's largest one and how many pairs are left."""
+    named = rows.drop("component").join(labels, F.col("c") == F.col("doc"), "left").withColumn("component", F.coalesce("component", F.col("c"))).drop("doc")
+    each = named.groupBy("token", "component").agg(F.count("*").alias("m"))
+    lists = each.groupBy("token").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("size")).filter(F.col("size") > F.col("most.m"))
+    lists = lists.select("token", F.col("most.component").alias("major"), ((F.col("size") - F.col("most.m")) * F.col("size")).alias("left"))
+    return saved(named.join(lists, "token"), what)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, counts: bool = True, keep_keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least doc_id of the documents with an equal set) and, with counts, n_links (how many different sets its set links with).
+
+    keep_keys adds what tells rows apart: row_key (a hash of id and text) and
+    component_key (null for empty sets), for joins back where ids are null or reused.
+    """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc", "key", "n", "c", *SIGNATURE]
+        common, waiting, size = np.zeros(WIDTH, np.int32), [], 0
         for b in batches:
             out = []
-            for doc, text in zip(b["doc"].tolist(), b["text"], strict=True):
+            for doc, key, text in zip(b["doc"], b["key"].tolist(), b["text"], strict=True):
                 s = shingle_set(text, k)
-                c = xxhash.xxh3_128_digest(s.tobytes())
-                out.append((doc, len(s), *np.frombuffer(c, np.int64).tolist()))
-            yield pd.DataFrame(out, columns=["doc", "n", "c1", "c2"])
+                out.append((doc, key, len(s), class_of(s), *(signature(s, percent) if len(s) else [0] * len(SIGNATURE))))
+                waiting.append(s)
+                size += len(s)
+                if size > 1 << 20:
+                    common += np.bincount(np.concatenate(waiting) & (WIDTH - 1), minlength=WIDTH).astype(np.int32)
+                    waiting, size = [], 0
+            yield pd.DataFrame(out, columns=names).astype({"doc": "Int64"}).assign(chunk=pd.Series(pd.NA, index=range(len(out)), dtype="Int32"), counts=None)
+        if waiting:
+            common += np.bincount(np.concatenate(waiting) & (WIDTH - 1), minlength=WIDTH).astype(np.int32)
+        none = pd.DataFrame({x: pd.Series([pd.NA], dtype="Int64") for x in names})
+        for at in range(0, WIDTH, CHUNK):
+            if (part := common[at : at + CHUNK]).any():
+                yield none.assign(chunk=pd.Series([at // CHUNK], dtype="Int32"), counts=[part.tobytes()])
+
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc", "text"))
+    kind = "doc long, key long, n long, c long, " + ", ".join(f"{x} long" for x in SIGNATURE) + ", chunk int, counts binary"
+    sketched = saved(d.mapInPandas(sketch, kind), "join-members")
+    members = sketched.filter("chunk is null")
+    common = d.sparkSession.sparkContext.broadcast(_commonness(sketched))  # WIDTH bytes
 
-    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # copies within a task give their rows once
         for b in batches:
-            tokens, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            parts: list[tuple] = [(np.zeros(0, np.int64),) * 4]
             for text in b["text"]:
                 s = shingle_set(text, k)
-                c = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes())[:8], np.int64)[0])
-                t = s[(mix(s.view(np.uint64)) & np.uint64(0xFFFFFFFF)) < np.uint64(limit)]
-                tokens.append(t)
-                owners.append(np.full(len(t), c, np.int64))
-            yield pd.DataFrame({"token": np.concatenate(tokens), "c1": np.concatenate(owners)})
-
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.col(text_col).alias("text"))
-    members = saved(d.mapInPandas(sketch, "doc long, n long, c1 long, c2 long"), "join-members")
-    classes = members.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
-    # 2. shingles of the sample that one class alone has
-    t = d.select("text").mapInPandas(sampled, "token long, c1 long").repartition("token")
-    own = t.groupBy("token").agg(F.min("c1").alias("c1"), F.max("c1").alias("other")).filter("c1 = other").groupBy("c1").agg(F.count("*").alias("own"))
-    slack = F.expr(f"n - ({percent} * n + 99) div 100")  # most shingles that a partner may lack
-    alive = classes.join(own, "c1", "left").filter(F.coalesce("own", F.lit(0)) <= slack).select(F.col("rep").alias("doc"), "n", "c1", "c2")
-    alive = saved(alive, "join-alive")
+                c = class_of(s)
+                if len(s) and c not in seen:
+                    if len(seen) >= 100_000:
+                        seen.clear()
+                    seen.add(c)
+                    first = prefix_of(s, percent, common.value)
+                    parts.append((first, np.full(len(first), c), np.full(len(first), len(s)), np.arange(len(first))))
+            yield pd.DataFrame(dict(zip(("token", "c", "n", "pos"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    t = d.select("text").mapInPandas(prefixes, "token long, c long, n int, pos int")
+    shared = t.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
+    rows = saved(t.join(shared, "token", "left_semi").distinct(), "join-prefixes")
+    signed = members.filter("n > 0").groupBy("c").agg(F.min("key").alias("key"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in SIGNATURE])
+    alive = saved(signed.join(rows.select("c").distinct(), "c", "left_semi"), "join-alive")
+    signs = alive.drop("key")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(doc, s) for doc, text, c1 in zip(b["doc"].tolist(), b["text"], b["c1"].tolist(), strict=True) if np.frombuffer(xxhash.xxh3_128_digest((s := shingle_set(text, k)).tobytes())[:8], np.int64)[0] == c1]
-            yield pd.DataFrame(out, columns=["doc", "tokens"])
+            out = [(c, s) for text, c in zip(b["text"], b["c"].tolist(), strict=True) if class_of(s := shingle_set(text, k)) == c]
+            yield pd.DataFrame(out, columns=["c", "tokens"])
 
-    sets = d.join(alive.select("doc", "c1"), "doc").mapInPandas(sets_of, "doc long, tokens array<long>")
-    sets = saved(sets, "join-sets")
-    # 3. document frequencies among what is left, and prefixes
-    # dealt out once: the counts (of doc, so that it is the same exchange) and the rows that they join both read it
-    t = sets.select("doc", F.explode("tokens").alias("token")).repartition("token")
-    df = t.groupBy("token").agg(F.count("doc").cast("int").alias("df")).filter("df > 1")
-    lists = t.join(df, "token").groupBy("doc").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    sets = d.join(alive.select("key", "c"), "key").select("text", "c").mapInPandas(sets_of, "c long, tokens array<long>")
+    sets = saved(sets.dropDuplicates(["c"]), "join-sets")
+    # 2. centres, round after round in lists that hold several components still
+    links = _links_to_centres(rows, signs, sets, percent, 0, "join-links")
+    labels = components(links, "join-labels")
+    left = _mixed(rows, labels, "join-mixed")
+    for r in range(1, ROUNDS):
+        links = links.unionByName(_links_to_centres(left, signs, sets, percent, r, "join-links"))
+        labels = components(links, "join-labels")
+        left = _mixed(left.select("token", "c", "n", "pos"), labels, "join-mixed")
+    # 3. what is left: members outside a list's largest component with those of others
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["token", "pos", "doc", "n", *[f"o{j}_{i}" for j in range(len(ORDERS)) for i in range(BITS)]]
-        for b in batches:
-            parts = []
-            for doc, n, shared in zip(b["doc"].tolist(), b["n"].tolist(), b["shared"], strict=True):
-                own = n - len(shared)
-                most = n - (percent * n + 99) // 100
-                if own > most:
-                    continue
-                f = np.array([x["df"] for x in shared], np.int64)
-                tok = np.array([x["token"] for x in shared], np.int64)
-                first = tok[np.lexsort((tok, f))][: most + 1 - own]
-                bits = []
-                for seed in ORDERS:
-                    o = mix(tok.view(np.uint64) ^ np.uint64(seed))
-                    hit = o[np.lexsort((o, f))][: most + 1 - own] % np.uint64(64 * BITS)
-                    for i in range(BITS):
-                        m = hit[hit // np.uint64(64) == i] % np.uint64(64)
-                        bits.append(int(np.bitwise_or.reduce(np.left_shift(np.uint64(1), m), initial=np.uint64(0)).view(np.int64)))
-                parts.append(pd.DataFrame(dict(zip(names, [first, np.arange(own, own + len(first)), doc, n, *bits], strict=True))))
-            yield pd.concat(parts) if parts else pd.DataFrame(columns=names)
-
-    kind = "token long, pos long, doc long, n long, " + ", ".join(f"o{j}_{i} long" for j in range(len(ORDERS)) for i in range(BITS))
-    rows = saved(lists.join(alive.select("doc", "n"), "doc").mapInPandas(prefixes, kind), "join-prefixes")
-    # 4. centres first
-    cols = [c for c in rows.columns if c != "token"]
-    centre = rows.groupBy("token").agg(F.min(F.struct("pos", *[c for c in cols if c != "pos"])).alias("c"), F.count("*").alias("size")).filter("size > 1").select("token", "c.*")
-    pairs = rows.alias("x").join(centre.alias("y"), "token").filter((F.col("x.doc") != F.col("y.doc")) & _compatible("x", "y", percent))
-    pairs = pairs.select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b")).distinct()
-    links = saved(_verified(pairs, sets, percent), "join-links")
-    labels = components(links, "join-first")
-    # then the lists that still hold several components
-    named = rows.join(labels, "doc", "left").withColumn("component", F.coalesce("component", F.col("doc")))
-    mixed = named.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("token")
-    named = saved(named.join(mixed, "token", "left_semi"), "join-mixed")
-    more = named.alias("x").join(named.alias("y"), "token").filter((F.col("x.component") < F.col("y.component")) & _compatible("x", "y", percent))
-    more = more.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    more = saved(_verified(more, sets, percent), "join-more")
-    links = links.unionByName(more)
-    labels = components(links, "join-second")
-    reps = classes.select("c1", "c2", "rep").join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
+    def rest(rows: DataFrame, meet: bool) -> DataFrame:
+        full = rows.join(signs.drop("n"), "c")
+        x, y = full.filter("component != major").alias("x"), full.alias("y")
+        on = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.component") < F.col("y.component")))
+        x = x.join(y, F.col("x.token") == F.col("y.token")).filter(on & _alike("x", "y", percent) & (_may_meet("x", "y", percent) if meet else F.lit(True)))
+        return x.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+
+    pairs = rest(left.filter(F.col("left") <= MOST_PAIRS), True)
+    large = left.filter(F.col("left") > MOST_PAIRS)
+    if not large.isEmpty():
+
+        def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                keys = [part_keys(s, percent) for s in b["tokens"]]
+                n = [len(x) for x in keys]
+                yield pd.DataFrame({"token": np.concatenate(keys) if keys else np.zeros(0, np.int64), "c": np.repeat(b["c"].to_numpy(), n), "n": np.repeat([len(s) for s in b["tokens"]], n), "pos": 0})
+
+        narrow = sets.join(large.select("c").distinct(), "c", "left_semi").mapInPandas(parts, "token long, c long, n int, pos int")
+        pairs = pairs.unionByName(rest(_mixed(narrow, labels, "join-parts"), False))
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-rest")
+    links = links.unionByName(saved(_verified(pairs, sets, percent), "join-links"))
+    labels = components(links, "join-labels")
+    # back to documents
+    classes = members.filter("n > 0").groupBy("c").agg(F.min("doc").alias("least"))
+    of = classes.join(labels, F.col("c") == F.col("doc"), "left").select("c", "least", F.coalesce("component", "c").alias("component"))
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = of.join(ids, "component")
+    more = []
     if counts:
-        reps = reps.join(saved(degrees(labels, sets, percent), "join-degrees"), "rep", "left")
-    out = members.join(reps, ["c1", "c2"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
-    back = lambda c: F.when(c != _NULL, c)
-    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []
-    return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(own).alias("component_id"), back(F.coalesce("rep", "doc")).alias("class_id"), *more)
+        of = of.join(saved(degrees(labels, sets, percent), "join-degrees"), "c", "left")
+        more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    if keep_keys:
+        more += [F.col("key").alias("row_key"), F.when(F.col("n") > 0, F.col("component")).alias("component_key")]
+    out = members.select("doc", "key", "n", "c").join(of, "c", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("class_id"), *more)

@@ -92,6 +92,27 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END)) AS g
+  FROM w),
+c AS (SELECT g, min(doc_id) AS least, row_number() OVER () AS c FROM g WHERE len(g) > 0 GROUP BY g),
+t AS (SELECT c, len(g) AS n, unnest(g) AS t FROM c),
+link AS (
+  SELECT x.c AS a, y.c AS b FROM t x JOIN t y ON x.t = y.t AND x.c <> y.c
+  GROUP BY x.c, y.c, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a AS c, min(least) AS component_id FROM reach JOIN c ON reach.b = c.c GROUP BY a),
+links AS (SELECT a AS c, count(*) AS n_links FROM link GROUP BY a)
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, CASE WHEN len(g.g) > 0 THEN component_id ELSE g.doc_id END AS component_id,
+       coalesce(n_links, 0)::BIGINT AS n_links
+FROM g LEFT JOIN c USING (g) LEFT JOIN least USING (c) LEFT JOIN links USING (c)
+""",
     "op5_source_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -1,27 +1,103 @@
-"""n_links of the n-gram join against all pairs, within components too."""
+"""The n-gram join against all pairs: links within components, rows without ids, lists that are narrowed, and its filters."""
 
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from namelens.llm import ngram_join
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_n_links_are_all_links(spark, monkeypatch, block):
+def near_copies(n=40):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = []
-    for i in range(40):
+    for i in range(n):
         w = list(base)
         for _ in range(i % 4):
             w[rng.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(w)))
-    rows += [(100, "a b c d e"), (101, "a b c d e f"), (102, "q r s t u"), (103, None), (104, rows[1][1])]
-    k, percent = 3, 80
-    sets = {i: frozenset(zip(*[(t or "").split()[j:] for j in range(k)], strict=False)) for i, t in rows}
+    return [*rows, (100, "a b c d e"), (101, "a b c d e f"), (102, "q r s t u"), (103, None), (104, rows[1][1])]
+
+
+def paragraphs(n):
+    """Texts of 4 of 30 passages that many texts share, with a few words of their own, and some near copies of them."""
+    rng = random.Random(3)
+    passages = [" ".join(f"p{j}w{i}" for i in range(12)) for j in range(30)]
+    texts = [" ".join(rng.sample(passages, 4)) + f" own{i}" for i in range(n)]
+    return list(enumerate(texts + [t + " more" for t in texts[: n // 10]]))
+
+
+def sets_of(rows, k):
+    return {i: frozenset(zip(*[(t or "").split()[j:] for j in range(k)], strict=False)) for i, t in rows}
+
+
+def n_links(sets, percent):
     kinds = set(sets.values()) - {frozenset()}
-    want = {i: sum(o != s and 100 * len(s & o) >= percent * len(s | o) for o in kinds) for i, s in sets.items()}
+    return {i: sum(o != s and 100 * len(s & o) >= percent * len(s | o) for o in kinds) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_n_links_are_all_links(spark, monkeypatch, block):
+    rows, k, percent = near_copies(), 3, 80
+    want = n_links(sets_of(rows, k), percent)
     monkeypatch.setattr(ngram_join.degrees, "__defaults__", (block,))
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent).collect()
     assert {r["doc_id"]: r["n_links"] for r in got} == want and max(want.values()) > 5 and len(got) == len(rows)
+
+
+def test_narrowed_lists_lose_no_link(spark, monkeypatch):
+    """Every list that centres leave mixed goes through the parts."""
+    monkeypatch.setattr(ngram_join, "MOST_PAIRS", -1)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    rows = paragraphs(120)
+    sets = sets_of(rows, 3)
+    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=80).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == n_links(sets, 80)
+    for i in sets:
+        for j in sets:
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                assert got[i]["component_id"] == got[j]["component_id"]
+
+
+def test_rows_without_ids_join_nothing(spark):
+    words = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(1, words("a")), (2, words("b")), (None, words("a") + " x"), (None, words("b") + " x"), (None, None), (3, words("c")), (3, words("d")), (4, words("d") + " y")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["n_links"]) for r in got) == [(-1, -1, 0), (-1, 1, 1), (-1, 2, 1), (1, 1, 1), (2, 2, 1), (3, 3, 0), (3, 3, 1), (4, 3, 1)]
+
+
+@given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=80, unique=True), st.integers(0, 12), st.integers(0, 12), st.sampled_from([70, 80, 90]))
+def test_filters_keep_linked_pairs(values, drop, add, percent):
+    mixed = lambda v: np.unique(ngram_join.mix(np.array(v, np.uint64))).view(np.int64)
+    x, y = mixed(values), mixed(values[min(drop, len(values) - 1) :] + [(1 << 50) + i for i in range(add)])
+    x, y = (np.sort(v) for v in (x, y))
+    both = len(np.intersect1d(x, y))
+    if 100 * both < percent * (len(x) + len(y) - both):
+        return
+    common = np.random.default_rng(1).integers(0, 100, 1 << 10).astype(np.uint8)
+    assert len(np.intersect1d(ngram_join.prefix_of(x, percent, common), ngram_join.prefix_of(y, percent, common)))
+    assert len(np.intersect1d(ngram_join.part_keys(x, percent), ngram_join.part_keys(y, percent)))
+    a, b = (np.array(ngram_join.signature(v, percent), np.int64) for v in (x, y))
+    m = ngram_join.BITS
+    assert all((a[i * m : i * m + m] & b[i * m : i * m + m]).any() for i in range(len(ngram_join.ORDERS)))
+    odd = (a[-ngram_join.PARITY :] ^ b[-ngram_join.PARITY :]).view(np.uint8)
+    assert np.unpackbits(odd).sum() <= (100 - percent) * (len(x) + len(y)) // (100 + percent)
+
+
+def test_candidates_of_shared_passages_are_few(spark, monkeypatch):
+    """Twice the texts over the same passages give no more than about twice the pairs to verify."""
+    seen = []
+    verified = ngram_join._verified
+
+    def counted(pairs, *args):
+        seen[-1] += pairs.count()
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    for n in (200, 400):
+        seen.append(0)
+        ngram_join.near_duplicates(spark.createDataFrame(paragraphs(n), "doc_id long, text string"), counts=False)
+    assert seen[1] <= 3 * seen[0], seen
