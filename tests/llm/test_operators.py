@@ -206,14 +206,6 @@ def test_fingerprints(docs):
     assert fingerprints.edited_fingerprints(docs.limit(0)).count() == 0
 
 
-def test_syncmers_by_definition(spark):
-    d = spark.createDataFrame([(" ".join(VOCAB[i % 40] + str(i % 7) for i in range(60)),)], "text string")
-    x = fingerprints.with_anchors(d, "text", "t", 1000).withColumn("h", F.transform(F.split("text", " "), lambda w: F.xxhash64(w))).withColumn("s", F.zip_with("h", F.slice("h", 2, 99), lambda a, b: F.xxhash64(a, b))).first()
-    s = x["s"][:-1]
-    want = {i for i in range(len(s) - 3) if min(s[i : i + 4]) in (s[i], s[i + 3])}
-    assert set(x["t_p"]) <= want and len(set(x["t_p"])) == len(x["t_h"]) >= 5
-
-
 def test_licences(spark):
     texts = ["Some words here.\nReleased under the MIT License.\nmore", "licensed under the apache license version 2.0", "Nothing to see here at all", None, "", "MIT"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
