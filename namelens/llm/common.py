@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,11 +73,66 @@ def gram_hashes(h: np.ndarray, k: int, seed: int = 0x9E3779B97F4A7C15) -> np.nda
     return mix(acc)
 
 
+#: Counters of a sketch, a power of two: four bytes each in a task, one byte each on the driver and when broadcast.
+WIDTH = 1 << 20
+CHUNK = 1 << 14
+
+
+class Sketch:
+    """How often hashes occur, by their low bits: counts that are too high by chance, never too low."""
+
+    def __init__(self) -> None:
+        self.counts, self.waiting, self.size = np.zeros(WIDTH, np.int32), [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.waiting.append(values)
+        self.size += len(values)
+        if self.size > 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.size:
+            x = np.concatenate(self.waiting).view(np.uint64) & np.uint64(WIDTH - 1)
+            self.counts += np.bincount(x.astype(np.int64), minlength=WIDTH).astype(np.int32)
+        self.waiting, self.size = [], 0
+
+    def chunks(self) -> Iterator[tuple[int, bytes]]:
+        self.flush()
+        for at in range(0, WIDTH, CHUNK):
+            if (part := self.counts[at : at + CHUNK]).any():
+                yield at // CHUNK, part.tobytes()
+
+
+def commonness(chunks: DataFrame) -> np.ndarray:
+    """Of all tasks' chunks (chunk, counts): 4 times the logarithm of each counter, WIDTH bytes whatever the corpus."""
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, counts in zip(b["chunk"].tolist(), b["counts"], strict=True):
+                x = np.frombuffer(counts, np.int32).astype(np.int64)
+                sums[at] = sums[at] + x if at in sums else x
+        yield pd.DataFrame({"chunk": list(sums), "levels": [np.round(4 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in sums.values()]}, columns=["chunk", "levels"])
+
+    levels = np.zeros(WIDTH, np.uint8)
+    for r in chunks.repartition("chunk").mapInPandas(added, "chunk int, levels binary").collect():  # WIDTH bytes in all
+        levels[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["levels"], np.uint8)
+    return levels
+
+
+def rare_first(h: np.ndarray, levels: np.ndarray | None) -> np.ndarray:
+    """Numbers that order hashes by commonness, then by a hash; by the hash alone without levels."""
+    x = mix(h)
+    return x if levels is None else (levels[(h & np.uint64(WIDTH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one is set."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session (tests) gets a temporary one, a cluster an error."""
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not got:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(got)
         got = sc.getCheckpointDir()
@@ -91,7 +147,34 @@ def saved(df: DataFrame, what: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def released(*dfs: DataFrame) -> None:
+    """Deletes tables that saved() wrote and nothing reads any more."""
+    for df in dfs:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """wanted, each with as many underscores before it as it takes to be in no column's way."""
+    out, used = [], {c.lower() for c in taken}
+    for c in wanted:
+        while c.lower() in used:
+            c = "_" + c
+        used.add(c.lower())
+        out.append(c)
+    return out
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1 ..., and the new name of each old one."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), at
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

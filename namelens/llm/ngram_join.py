@@ -36,14 +36,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namelens.llm.common import gram_hashes, hash_words, lower_ascii_words, mix, saved
+from namelens.llm.common import Sketch, commonness, gram_hashes, hash_words, lower_ascii_words, mix, rare_first, released, saved
 
 #: Seeds of the two orders by hash, and the longs of a prefix's bitmap and of the parity bitmap.
 ORDERS = (0x51ED270B, 0x2545F491)
 BITS, PARITY = 2, 4
-#: Counters of the sketch, a power of two: four bytes each in a task, one byte each when broadcast.
-WIDTH = 1 << 20
-CHUNK = 1 << 14
 #: Rounds of centres, and the pairs that a list may still make after them.
 ROUNDS = 3
 MOST_PAIRS = 2_000_000
@@ -81,11 +78,9 @@ def signature(s: np.ndarray, percent: int) -> list[int]:
     return out + np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def prefix_of(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+def prefix_of(s: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
     """The first shingles in the order by commonness; ties, 1 in 2^56, keep the order of s."""
-    t = s.view(np.uint64)
-    order = (common[(t % np.uint64(len(common))).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(t) >> np.uint64(8))
-    return s[np.argsort(order, kind="stable")[: prefix_length(len(s), percent)]]
+    return s[np.argsort(rare_first(s.view(np.uint64), levels), kind="stable")[: prefix_length(len(s), percent)]]
 
 
 def size_classes(n: int, percent: int) -> list[tuple[int, int]]:
@@ -122,17 +117,20 @@ def components(edges: DataFrame, what: str) -> DataFrame:
     Minimum labels go along links and along labels (pointer jumping) until none changes.
     """
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), what + "-edges")
-    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "doc"), what + "-labels")
+    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "doc"), what + "-labels")
     while True:
-        seen = both.join(labels, F.col("b") == F.col("doc")).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(seen, F.col("doc") == F.col("a"), "left").select("doc", "component", F.least("component", F.coalesce("near", "component")).alias("to"))
+        now = labels.select("doc", F.col("to").alias("component"))
+        seen = both.join(now, F.col("b") == F.col("doc")).groupBy("a").agg(F.min("component").alias("near"))
+        step = now.join(seen, F.col("doc") == F.col("a"), "left").select("doc", "component", F.least("component", F.coalesce("near", "component")).alias("to"))
         step = saved(step, what + "-step")
         jump = step.select(F.col("doc").alias("d"), F.col("to").alias("far"))
-        step = step.join(jump, F.col("to") == F.col("d"), "left").select("doc", "component", F.least("to", F.coalesce("far", "to")).alias("to"))
-        step = saved(step, what + "-labels")
-        labels = step.select("doc", F.col("to").alias("component"))
-        if step.filter(F.col("to") < F.col("component")).isEmpty():
-            return labels
+        next_ = step.join(jump, F.col("to") == F.col("d"), "left").select("doc", "component", F.least("to", F.coalesce("far", "to")).alias("to"))
+        next_ = saved(next_, what + "-labels")
+        released(step, labels)
+        labels = next_
+        if labels.filter(F.col("to") < F.col("component")).isEmpty():
+            released(both)
+            return labels.select("doc", F.col("to").alias("component"))
 
 
 def _may_meet(a: str, b: str, percent: int) -> Column:
@@ -213,24 +211,6 @@ def degrees(labels: DataFrame, sets: DataFrame, percent: int, block: int = 1024)
     return two.unionByName(counted).groupBy("c").agg(F.sum("n_links").alias("n_links"))
 
 
-def _commonness(members: DataFrame) -> np.ndarray:
-    """For each counter of the sketch, 4 times the logarithm of its count: WIDTH bytes, whatever the corpus."""
-
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for at, counts in zip(b["chunk"].tolist(), b["counts"], strict=True):
-                x = np.frombuffer(counts, np.int32).astype(np.int64)
-                sums[at] = sums[at] + x if at in sums else x
-        yield pd.DataFrame({"chunk": list(sums), "levels": [np.round(4 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in sums.values()]}, columns=["chunk", "levels"])
-
-    levels = np.zeros(WIDTH, np.uint8)
-    parts = members.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInPandas(added, "chunk int, levels binary")
-    for r in parts.collect():  # WIDTH bytes in all
-        levels[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["levels"], np.uint8)
-    return levels
-
-
 def _links_to_centres(rows: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, seed: int, what: str) -> DataFrame:
     """Verified links (a, b) of each list's members with one of them; rows may have labels, within which none is sought."""
     by = F.xxhash64("c", F.lit(seed))
@@ -260,32 +240,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component_key (null for empty sets), for joins back where ids are null or reused.
     """
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc", "key", "n", "c", *SIGNATURE]
-        common, waiting, size = np.zeros(WIDTH, np.int32), [], 0
+        sketch = Sketch()
         for b in batches:
             out = []
             for doc, key, text in zip(b["doc"], b["key"].tolist(), b["text"], strict=True):
                 s = shingle_set(text, k)
                 out.append((doc, key, len(s), class_of(s), *(signature(s, percent) if len(s) else [0] * len(SIGNATURE))))
-                waiting.append(s)
-                size += len(s)
-                if size > 1 << 20:
-                    common += np.bincount(np.concatenate(waiting) & (WIDTH - 1), minlength=WIDTH).astype(np.int32)
-                    waiting, size = [], 0
+                sketch.add(s)
             yield pd.DataFrame(out, columns=names).astype({"doc": "Int64"}).assign(chunk=pd.Series(pd.NA, index=range(len(out)), dtype="Int32"), counts=None)
-        if waiting:
-            common += np.bincount(np.concatenate(waiting) & (WIDTH - 1), minlength=WIDTH).astype(np.int32)
         none = pd.DataFrame({x: pd.Series([pd.NA], dtype="Int64") for x in names})
-        for at in range(0, WIDTH, CHUNK):
-            if (part := common[at : at + CHUNK]).any():
-                yield none.assign(chunk=pd.Series([at // CHUNK], dtype="Int32"), counts=[part.tobytes()])
+        for chunk, counts in sketch.chunks():
+            yield none.assign(chunk=pd.Series([chunk], dtype="Int32"), counts=[counts])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc", "text"))
     kind = "doc long, key long, n long, c long, " + ", ".join(f"{x} long" for x in SIGNATURE) + ", chunk int, counts binary"
-    sketched = saved(d.mapInPandas(sketch, kind), "join-members")
-    members = sketched.filter("chunk is null")
-    common = d.sparkSession.sparkContext.broadcast(_commonness(sketched))  # WIDTH bytes
+    written = saved(d.mapInPandas(sketched, kind), "join-members")
+    members = written.filter("chunk is null")
+    levels = commonness(written.filter("chunk is not null").select("chunk", "counts"))
+    common = d.sparkSession.sparkContext.broadcast(levels)  # WIDTH bytes
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # copies within a task give their rows once

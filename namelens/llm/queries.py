@@ -92,6 +92,36 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length('<s>[INST] ') + length(' [/INST]') + length('</s>')
+         + length(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]'))
+         + length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]')) AS chars
+  FROM c),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss, sum(chars)::BIGINT AS formatted_chars
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+""",
+    "op8_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS k,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+x AS (SELECT r, k, unnest([{'i': i, 'g': array_to_string(w[i:i + 12], ' ')} FOR i IN range(1, len(w) - 11)]) AS x FROM d),
+f AS (SELECT x.g AS g, min(k) AS first FROM x GROUP BY x.g),
+late AS (SELECT r, x.i AS i FROM x JOIN f ON x.x.g = f.g WHERE k > first),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM late),
+u AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN gone USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+""",
     "op6_ngram_join": r"""
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS r, doc_id,

@@ -5,7 +5,9 @@ window over it also starts in a document with a smaller doc_id.
 
 Broadcasting automata of the whole corpus to all documents would cost the
 square of the corpus, so the corpus is sharded by content. Each window belongs
-to its minimizer, the least hash of its runs of `anchor` words; the windows of
+to its minimizer, the rarest of its runs of `anchor` words (by a count sketch over
+all documents, then by hash), so that a common line is an anchor of windows inside
+common passages only; the windows of
 one minimizer form a piece of at most 2 * window - anchor words. Equal windows
 have equal minimizers, so they meet in one shard, and a shard needs only the
 distinct pieces of its anchor. Pieces that are alike in all words are settled
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namelens.llm.common import byte_words, gram_hashes, hash_words, mix, saved
+from namelens.llm.common import Sketch, byte_words, commonness, free_names, gram_hashes, hash_words, mix, rare_first, saved
 
 WINDOW = 13
 ANCHOR = 6
@@ -59,24 +61,25 @@ def tag(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) & 0xFFFFFF
 
 
-def pieces_of(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces_of(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, content hash, first word, number of words) of the pieces of one document's word hashes."""
     n = len(h) - window + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
         return z.view(np.uint64), z.view(np.uint64), z, z
     g = gram_hashes(h, anchor)
-    best, at = g[:n].copy(), np.arange(n)
+    order = rare_first(g, levels)
+    best, at = order[:n].copy(), np.arange(n)
     for j in range(1, window - anchor + 1):  # the leftmost least of each window
-        less = g[j : j + n] < best
-        best[less] = g[j : j + n][less]
+        less = order[j : j + n] < best
+        best[less] = order[j : j + n][less]
         at[less] = np.flatnonzero(less) + j
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [n]]) - 1
     powers, inverse = _powers(len(h) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)])])
     content = mix((sums[last + window] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
-    return best[first], content, first, last - first + window
+    return g[at[first]], content, first, last - first + window
 
 
 class SuffixAutomaton:
@@ -158,6 +161,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def covered_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, max_shard: int = MAX_SHARD) -> DataFrame:
     """doc, tag and spans (each start * 2^24 + number of words) of the words to remove."""
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sketch = Sketch()
+        for b in batches:
+            for text in b["text"]:
+                sketch.add(gram_hashes(hash_words(byte_words(text)), anchor))
+        yield pd.DataFrame(list(sketch.chunks()), columns=["chunk", "counts"])
+
+    keyed = _keyed(docs, id_col, text_col)
+    levels = commonness(saved(keyed.select("text").mapInPandas(counted, "chunk int, counts binary"), "anchor-counts"))
+    common = docs.sparkSession.sparkContext.broadcast(levels)  # a byte for each counter of the sketch
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("key", "anchor", "content", "doc", "at")
         seen: dict[int, int] = {}  # least doc so far of a piece, by a hash of it
@@ -179,7 +193,7 @@ def covered_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             parts: list[tuple] = []
             for doc, text in zip(b["doc"].tolist(), b["text"], strict=True):
-                a, c, first, n = pieces_of(hash_words(byte_words(text)), window, anchor)
+                a, c, first, n = pieces_of(hash_words(byte_words(text)), window, anchor, common.value)
                 if len(a):
                     parts.append((a, c, np.full(len(a), doc, np.int64), (first << 32) | (n << 24) | tag(text)))
                 if sum(len(p[0]) for p in parts) > 100_000:
@@ -189,7 +203,7 @@ def covered_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 yield frame(parts)
 
     # pieces that a task has met in an earlier document are settled there; they are dealt out by themselves, so that a passage in very many documents gathers nowhere
-    p = _keyed(docs, id_col, text_col).mapInPandas(cut, "key long, anchor long, content long, doc long, at long, late boolean").repartition("key")
+    p = keyed.mapInPandas(cut, "key long, anchor long, content long, doc long, at long, late boolean").repartition("key")
     alike, of_anchor = Window.partitionBy("key", "content"), Window.partitionBy("key")
     p = p.withColumn("first_doc", F.min("doc").over(alike))
     p = p.withColumns({"low": F.min("content").over(of_anchor), "high": F.max("content").over(of_anchor)})
@@ -260,26 +274,27 @@ def _with_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """docs with n_words, n_removed and kept_text: the words that stay, joined by one space.
 
-    Columns of docs with these names are replaced; other columns are kept.
+    All columns of docs are kept; where they have one of these names, the new one gets an underscore before it.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_text")
-    spans = covered_spans(docs, id_col=id_col, text_col=text_col, **params).withColumnRenamed("doc", "__doc").withColumnRenamed("tag", "__tag")
-    # the text's tag is made in Python, so that a document meets the spans of its doc_id and picks its own there
-    lists = spans.groupBy("__doc").agg(F.collect_list(F.struct("__tag", "spans")).alias("__spans"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
-    d = docs.join(lists, key == F.col("__doc"), "left").drop("__doc")
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    made = free_names(names, ["n_words", "n_removed", "kept_text"])
+    doc, own, key = free_names([*names, *made], ["doc", "spans", "key"])
+    spans = covered_spans(docs, id_col=id_col, text_col=text_col, **params)
+    # the text's tag is made in Python, so that a document meets the spans of its doc_id and picks its own there
+    lists = spans.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("tag", "spans")).alias(own))
+    d = docs.withColumn(doc, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL)))
+    d = d.join(lists, F.col(doc) == F.col(key), "left")
+    schema = T.StructType([*docs.schema.fields]).add(made[0], "long").add(made[1], "long").add(made[2], "string")
 
     def keep(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, own in zip(b.column(text_col).to_pylist(), b.column("__spans").to_pylist(), strict=True):
+            for text, found in zip(b.column(text_col).to_pylist(), b.column(own).to_pylist(), strict=True):
                 w = byte_words(text)
-                t = tag(text) if own else -1
-                found = merged([(s >> 24, (s >> 24) + (s & 0xFFFFFF)) for x in own or [] if x["__tag"] == t for s in x["spans"]])
+                t = tag(text) if found else -1
+                found = merged([(s >> 24, (s >> 24) + (s & 0xFFFFFF)) for x in found or [] if x["tag"] == t for s in x["spans"]])
                 stay, at = [], 0
                 for s, e in found:
                     stay += w[at:s]
@@ -289,9 +304,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 n_removed.append(len(w) - len(stay))
                 kept.append(b" ".join(stay).decode("utf-8", "surrogatepass"))
             cols = [b.column(c) for c in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *made])
 
-    return d.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(keep, schema)
+    return d.select(*[F.col(f"`{c}`") for c in [*names, own]]).mapInArrow(keep, schema)
 
 
 def removed_digests(docs: DataFrame, **params) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from namelens.llm import ngram_join
+from namelens.llm.common import WIDTH, mix
 
 
 def near_copies(n=40):
@@ -71,13 +72,13 @@ def test_rows_without_ids_join_nothing(spark):
 
 @given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=80, unique=True), st.integers(0, 12), st.integers(0, 12), st.sampled_from([70, 80, 90]))
 def test_filters_keep_linked_pairs(values, drop, add, percent):
-    mixed = lambda v: np.unique(ngram_join.mix(np.array(v, np.uint64))).view(np.int64)
+    mixed = lambda v: np.unique(mix(np.array(v, np.uint64))).view(np.int64)
     x, y = mixed(values), mixed(values[min(drop, len(values) - 1) :] + [(1 << 50) + i for i in range(add)])
     x, y = (np.sort(v) for v in (x, y))
     both = len(np.intersect1d(x, y))
     if 100 * both < percent * (len(x) + len(y) - both):
         return
-    common = np.random.default_rng(1).integers(0, 100, 1 << 10).astype(np.uint8)
+    common = np.random.default_rng(1).integers(0, 100, WIDTH).astype(np.uint8)
     assert len(np.intersect1d(ngram_join.prefix_of(x, percent, common), ngram_join.prefix_of(y, percent, common)))
     assert len(np.intersect1d(ngram_join.part_keys(x, percent), ngram_join.part_keys(y, percent)))
     a, b = (np.array(ngram_join.signature(v, percent), np.int64) for v in (x, y))

@@ -265,3 +265,16 @@ def test_cotraining_learns(spark):
     odd = range(1, 900, 2)
     assert sum((out[i] >= 0.5) == (i % 3 != 0) for i in odd) >= 0.97 * len(odd) and 0 <= out[900] <= 1
     assert {r["score"] for r in cotraining.score(d, cotraining.train(d, labels.limit(0))).collect()} == {0.5}
+
+
+def test_substring_dedup_keeps_all_columns(spark):
+    """Columns named like the new ones or like inner ones, null and shared ids, repeated rows."""
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = [(1, text, 7, "x", "y"), (2, "pre " + text, 8, None, "y"), (2, "other " + text, 9, "z", None), (None, "zz " + text, 1, "n", "n"), (None, None, 2, "n", "n"), (1, text, 7, "x", "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_words int, __doc string, spans string")
+    out = substring_dedup.remove_repeats(d)
+    assert out.columns == [*d.columns, "_n_words", "n_removed", "kept_text"]
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    want = [(*rows[0], 30, 30, ""), (*rows[1], 31, 30, "pre"), (*rows[2], 31, 30, "other"), (*rows[3], 31, 0, "zz " + text), (*rows[4], 0, 0, ""), (*rows[5], 30, 30, "")]
+    assert got == sorted(want, key=repr)
+    assert substring_dedup.remove_repeats(d.limit(0)).count() == 0
