@@ -10,7 +10,8 @@ so null or reused ids join nothing. No filter loses a link:
    then a hash), and by two hashes alone. Candidates meet at a prefix shingle
    of the first order, where sizes and places bound the overlap; they must also
    share bits of both other prefixes, and the parity bits of their whole sets
-   may differ in no more places than the sets may. Only what passes all is verified.
+   may differ in no more places than the sets may. Only what passes all is
+   verified, and only sets of documents with any such candidate are made.
 2. Not all pairs of a list are candidates. Over some rounds each list links its
    members to one centre. Then, in lists that still hold several components,
    members outside the largest one meet the members of other components.
@@ -42,7 +43,7 @@ from namelens.llm.common import Sketch, commonness, gram_hashes, hash_words, low
 ORDERS = (0x51ED270B, 0x2545F491)
 BITS, PARITY = 2, 4
 #: Rounds of centres, and the pairs that a list may still make after them.
-ROUNDS = 3
+ROUNDS = 2
 MOST_PAIRS = 2_000_000
 SIGNATURE = [*(f"o{j}_{i}" for j in range(len(ORDERS)) for i in range(BITS)), *(f"y{i}" for i in range(PARITY))]
 
@@ -211,8 +212,8 @@ def degrees(labels: DataFrame, sets: DataFrame, percent: int, block: int = 1024)
     return two.unionByName(counted).groupBy("c").agg(F.sum("n_links").alias("n_links"))
 
 
-def _links_to_centres(rows: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, seed: int, what: str) -> DataFrame:
-    """Verified links (a, b) of each list's members with one of them; rows may have labels, within which none is sought."""
+def _with_centres(rows: DataFrame, signs: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Candidates (a, b) of each list's members with one of them, a; rows may have components, within which none is sought."""
     by = F.xxhash64("c", F.lit(seed))
     extra = ["component"] if "component" in rows.columns else []
     centre = rows.groupBy("token").agg(F.min(F.struct(by.alias("by"), "c", "n", "pos", *extra)).alias("y"))
@@ -220,8 +221,30 @@ def _links_to_centres(rows: DataFrame, signs: DataFrame, sets: DataFrame, percen
     if extra:
         x = x.filter(F.col("x.component") != F.col("y.component"))
     pairs = x.filter(_may_meet("x", "y", percent)).select(F.col("y.c").alias("a"), F.col("x.c").alias("b")).distinct()
-    pairs = pairs.join(signs.alias("x"), F.col("b") == F.col("x.c")).join(signs.alias("y"), F.col("a") == F.col("y.c")).filter(_alike("x", "y", percent)).select("a", "b")
-    return saved(_verified(saved(pairs, what + "-pairs"), sets, percent), what)
+    return pairs.join(signs.alias("x"), F.col("b") == F.col("x.c")).join(signs.alias("y"), F.col("a") == F.col("y.c")).filter(_alike("x", "y", percent)).select("a", "b")
+
+
+def _across(rows: DataFrame, signs: DataFrame, percent: int, meet: bool = True) -> DataFrame:
+    """Candidates (a, b) of each list's members outside its major component with the members of other components."""
+    full = rows.join(signs.drop("n"), "c")
+    x, y = full.filter("component != major").alias("x"), full.alias("y")
+    on = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.component") < F.col("y.component")))
+    x = x.join(y, F.col("x.token") == F.col("y.token")).filter(on & _alike("x", "y", percent) & (_may_meet("x", "y", percent) if meet else F.lit(True)))
+    return x.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+
+
+def _candidates(rows: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """c of all rows that are a candidate with any other (and of all rows of lists with too many pairs)."""
+    pairs = _with_centres(rows, signs, percent, 0).unionByName(_with_centres(rows, signs, percent, 1))
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "join-seen")
+    # those that met nobody yet, each a component of its own, with all others; the rest as one, which no class has for a name
+    named = rows.join(ends.withColumn("seen", F.lit(True)), "c", "left")
+    named = named.withColumn("component", F.when(F.col("seen"), F.lit("")).otherwise(F.col("c").cast("string"))).withColumn("major", F.lit("")).drop("seen")
+    lists = named.groupBy("token").agg((F.sum(F.when(F.col("component") != "", 1).otherwise(0)) * F.count("*")).alias("left")).filter("left > 0")
+    left = saved(named.join(lists, "token"), "join-unseen")
+    more = _across(left.filter(F.col("left") <= MOST_PAIRS), signs, percent).select(F.explode(F.array("a", "b")).alias("c"))
+    large = left.filter(F.col("left") > MOST_PAIRS).select("c")
+    return saved(ends.unionByName(more).unionByName(large).distinct(), "join-candidates")
 
 
 def _mixed(rows: DataFrame, labels: DataFrame, what: str) -> DataFrame:
@@ -280,34 +303,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = t.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
     rows = saved(t.join(shared, "token", "left_semi").distinct(), "join-prefixes")
     signed = members.filter("n > 0").groupBy("c").agg(F.min("key").alias("key"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in SIGNATURE])
-    alive = saved(signed.join(rows.select("c").distinct(), "c", "left_semi"), "join-alive")
-    signs = alive.drop("key")
+    signs = saved(signed.join(rows.select("c").distinct(), "c", "left_semi"), "join-signatures")
+    alive = _candidates(rows, signs.drop("key"), percent)
+    signs = saved(signs.join(alive, "c", "left_semi"), "join-alive")
+    rows = rows.join(alive, "c", "left_semi")
+    wanted, signs = signs.select("key", "c"), signs.drop("key")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(c, s) for text, c in zip(b["text"], b["c"].tolist(), strict=True) if class_of(s := shingle_set(text, k)) == c]
             yield pd.DataFrame(out, columns=["c", "tokens"])
 
-    sets = d.join(alive.select("key", "c"), "key").select("text", "c").mapInPandas(sets_of, "c long, tokens array<long>")
+    sets = d.join(wanted, "key").select("text", "c").mapInPandas(sets_of, "c long, tokens array<long>")
     sets = saved(sets.dropDuplicates(["c"]), "join-sets")
+    verified = lambda pairs: saved(_verified(saved(pairs, "join-pairs"), sets, percent), "join-links")
     # 2. centres, round after round in lists that hold several components still
-    links = _links_to_centres(rows, signs, sets, percent, 0, "join-links")
+    links = verified(_with_centres(rows, signs, percent, 0))
     labels = components(links, "join-labels")
     left = _mixed(rows, labels, "join-mixed")
     for r in range(1, ROUNDS):
-        links = links.unionByName(_links_to_centres(left, signs, sets, percent, r, "join-links"))
+        links = links.unionByName(verified(_with_centres(left, signs, percent, r)))
         labels = components(links, "join-labels")
         left = _mixed(left.select("token", "c", "n", "pos"), labels, "join-mixed")
     # 3. what is left: members outside a list's largest component with those of others
-
-    def rest(rows: DataFrame, meet: bool) -> DataFrame:
-        full = rows.join(signs.drop("n"), "c")
-        x, y = full.filter("component != major").alias("x"), full.alias("y")
-        on = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.component") < F.col("y.component")))
-        x = x.join(y, F.col("x.token") == F.col("y.token")).filter(on & _alike("x", "y", percent) & (_may_meet("x", "y", percent) if meet else F.lit(True)))
-        return x.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-
-    pairs = rest(left.filter(F.col("left") <= MOST_PAIRS), True)
+    pairs = _across(left.filter(F.col("left") <= MOST_PAIRS), signs, percent)
     large = left.filter(F.col("left") > MOST_PAIRS)
     if not large.isEmpty():
 
@@ -318,9 +337,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pd.DataFrame({"token": np.concatenate(keys) if keys else np.zeros(0, np.int64), "c": np.repeat(b["c"].to_numpy(), n), "n": np.repeat([len(s) for s in b["tokens"]], n), "pos": 0})
 
         narrow = sets.join(large.select("c").distinct(), "c", "left_semi").mapInPandas(parts, "token long, c long, n int, pos int")
-        pairs = pairs.unionByName(rest(_mixed(narrow, labels, "join-parts"), False))
-    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-rest")
-    links = links.unionByName(saved(_verified(pairs, sets, percent), "join-links"))
+        pairs = pairs.unionByName(_across(_mixed(narrow, labels, "join-parts"), signs, percent, False)).distinct()
+    links = links.unionByName(verified(pairs))
     labels = components(links, "join-labels")
     # back to documents
     classes = members.filter("n > 0").groupBy("c").agg(F.min("doc").alias("least"))
