@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namelens.llm.common import table
+from namelens.llm.licenses import TEMPLATES
 
 
 def tokenizer_path() -> str:
@@ -91,7 +92,37 @@ QUERIES = {
     )
 }
 
+def licence_sql(rows: list[tuple[str, str]]) -> str:
+    """The licence scan over documents with these templates."""
+    quoted = lambda x: "'" + " ".join(x.split()).replace("'", "''") + "'"
+    values = ",\n  ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(rows))
+    return rf"""
+WITH t(id, licence, template) AS (VALUES
+  {values}),
+tw AS (SELECT id, licence, string_split(trim(regexp_replace(lower(template), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t),
+tg AS (SELECT id, licence, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS grams FROM tw),
+tb AS (SELECT *, len(grams) AS size, ceil(round(len(grams) * 0.85 / 1.15, 9)) AS low, floor(round(len(grams) * 1.15 / 0.85, 9)) AS high FROM tg),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
+g AS (SELECT r, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS g FROM d),
+u AS (SELECT r, unnest(g) AS x, unnest(range(1, len(g) + 1)) AS i FROM g),
+h AS (SELECT r, id, i, x FROM u JOIN (SELECT id, unnest(grams) AS x FROM tb) USING (x)),
+c AS (SELECT r, id FROM h JOIN tb USING (id) GROUP BY r, id, low HAVING count(DISTINCT x) >= min(ceil(round(0.85 * (size + low) / 2, 9)))),
+k AS (SELECT r, id, i FROM h SEMI JOIN c USING (r, id)),
+p AS (
+  SELECT a.r AS r, a.i AS s, e.i AS e, licence, 2.0::DOUBLE * len(list_intersect(g[a.i:e.i], grams)) / (len(list_distinct(g[a.i:e.i])) + size) AS dice
+  FROM k a JOIN k e ON a.r = e.r AND a.id = e.id AND e.i >= a.i JOIN tb ON tb.id = a.id JOIN g ON g.r = a.r
+  WHERE e.i - a.i + 1 BETWEEN low AND high),
+m AS (SELECT *, s > coalesce(max(e) OVER (PARTITION BY r ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fresh FROM p WHERE dice >= 0.85::DOUBLE),
+n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY r ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS notice FROM m),
+b AS (SELECT r, notice, min({{'d': -dice, 'licence': licence}}) AS best FROM n GROUP BY r, notice),
+o AS (SELECT r, min(best) AS best, count(*) AS n_matches, array_to_string(list_sort(list(DISTINCT best.licence)), ',') AS licences FROM b GROUP BY r)
+SELECT doc_id, best.licence AS licence, round(-best.d, 6) AS dice, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licences, '') AS licences
+FROM d LEFT JOIN o USING (r)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licence_sql(TEMPLATES),
     "op7_chat_format": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from namelens.llm import chat_format, cotraining, fingerprints, licenses, ngram_join, packing, quality_rules, source_mixing, substring_dedup, toxicity
+from namelens.llm import chat_format, cotraining, fingerprints, ngram_join, packing, quality_rules, source_mixing, substring_dedup, toxicity
 from namelens.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -206,14 +206,6 @@ def test_fingerprints(docs):
     assert fingerprints.edited_fingerprints(docs.limit(0)).count() == 0
 
 
-def test_licences(spark):
-    texts = ["Some words here.\nReleased under the MIT License.\nmore", "licensed under the apache license version 2.0", "Nothing to see here at all", None, "", "MIT"]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["licence"], r["n_matches"]) for r in licenses.scan(d).collect()}
-    assert got == {0: ("MIT", 1), 1: ("Apache-2.0", 1), 2: (None, 0), 3: (None, 0), 4: (None, 0), 5: (None, 0)}
-    assert licenses.scan(d.limit(0)).count() == 0 and licenses.scan(d, rows=[]).filter("n_matches > 0").count() == 0
-
-
 def test_segments_against_brute_force():
     rng = random.Random(5)
     for _ in range(60):
