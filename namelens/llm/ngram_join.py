@@ -10,15 +10,17 @@ so null or reused ids join nothing. No filter loses a link:
    then a hash), and by two hashes alone. Candidates meet at a prefix shingle
    of the first order, where sizes and places bound the overlap; they must also
    share bits of both other prefixes, and the parity bits of their whole sets
-   may differ in no more places than the sets may. Only what passes all is
-   verified, and only sets of documents with any such candidate are made.
-2. Not all pairs of a list are candidates. Over some rounds each list links its
-   members to one centre. Then, in lists that still hold several components,
+   (about as many as shingles) may differ in no more places than the sets may.
+2. Not all pairs of a list are tried. At first each list's members meet two of
+   them. Then, in lists that still hold several components of candidates,
    members outside the largest one meet the members of other components.
 3. Lists where that would still be many pairs (a shingle in very many documents
    that are not alike) are replaced by narrower ones: shingles are dealt by hash
    into one part more than the sets of a linked pair can differ in, so such a
    pair is alike in all shingles of some part, and meets at that part's hash.
+4. Sets are made of the documents that have a candidate only, and travel once to
+   their component of candidates, in which all pairs are verified in blocks:
+   that gives the links' components and the number of each one's links.
 
 Defined results: null and blank texts have an empty set and link with nothing;
 rows with a null doc_id are documents like others, and a component's id is its
@@ -42,8 +44,8 @@ from namelens.llm.common import Sketch, commonness, gram_hashes, hash_words, low
 #: Seeds of the two orders by hash, and the longs of a prefix's bitmap and of the parity bitmap.
 ORDERS = (0x51ED270B, 0x2545F491)
 BITS, PARITY = 2, 4
-#: Rounds of centres, and the pairs that a list may still make after them.
-ROUNDS = 2
+#: Centres of each list, and the pairs that a list may still make after them.
+CENTRES = 2
 MOST_PAIRS = 2_000_000
 SIGNATURE = [*(f"o{j}_{i}" for j in range(len(ORDERS)) for i in range(BITS)), *(f"y{i}" for i in range(PARITY))]
 
@@ -66,6 +68,17 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """For each of so many counters (a power of two), whether an odd number of the set's shingles fall on it, as longs."""
+    odd = np.bincount(((s.view(np.uint64) >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def long_parity(s: np.ndarray) -> np.ndarray:
+    """As many parity bits as shingles, or up to twice as many. Linked sets have equal numbers of them, or one twice the other's: halves then fold into each other."""
+    return parity(s, max(64 * PARITY, 1 << (len(s) - 1).bit_length()))
+
+
 def signature(s: np.ndarray, percent: int) -> list[int]:
     """Bitmaps of the prefixes under the orders by hash, then the parity bitmap of the whole set."""
     p, out, t = prefix_length(len(s), percent), [], s.view(np.uint64)
@@ -75,8 +88,7 @@ def signature(s: np.ndarray, percent: int) -> list[int]:
         bits = np.zeros(64 * BITS, np.uint8)
         bits[(first % np.uint64(64 * BITS)).astype(np.int64)] = 1
         out += np.packbits(bits).view(np.int64).tolist()
-    odd = np.bincount((t >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-    return out + np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    return out + parity(s, 64 * PARITY).tolist()
 
 
 def prefix_of(s: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
@@ -140,8 +152,8 @@ def _may_meet(a: str, b: str, percent: int) -> Column:
     return (need <= F.least(f"{a}.n", f"{b}.n")) & (F.col(f"{a}.pos") <= F.col(f"{a}.n") - need) & (F.col(f"{b}.pos") <= F.col(f"{b}.n") - need)
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """Whether signatures a and b may be those of a linked pair."""
+def _alike(a: str, b: str, percent: int, whole: bool = True) -> Column:
+    """Whether signatures a and b may be those of a linked pair; whole: by the long parity bits too."""
     ok = F.lit(True)
     for j in range(len(ORDERS)):
         shared = F.lit(False)
@@ -149,35 +161,32 @@ def _alike(a: str, b: str, percent: int) -> Column:
             shared = shared | (F.col(f"{a}.o{j}_{i}").bitwiseAND(F.col(f"{b}.o{j}_{i}")) != 0)
         ok = ok & shared
     odd = sum((F.bit_count(F.col(f"{a}.y{i}").bitwiseXOR(F.col(f"{b}.y{i}"))) for i in range(PARITY)), F.lit(0))
-    return ok & (odd <= F.expr(f"({100 - percent} * ({a}.n + {b}.n)) div {100 + percent}"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) that link. A set that very many others meet (a centre's) is dealt out in copies."""
-    often = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("copies"))
-    left = sets.join(often, F.col("c") == F.col("a")).select("a", F.col("tokens").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    x = pairs.join(often, "a").withColumn("copy", F.pmod(F.hash("b"), "copies")).drop("copies")
-    x = x.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b").join(left, ["a", "copy"])
-    x = x.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"), (F.size("ta") + F.size("tb")).cast("long").alias("sum"))
-    return x.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
-
-
-def degrees(labels: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """c, n_links: how many others each class links with; labels are the exact components of links.
-
-    Both ends of a link are in one component, so its classes alone meet: all of
-    them, in blocks of about `block` classes (or 1 M shingles), a task for each
-    pair of blocks. There each set is what it lacks of one set of the block and
-    what it adds, which near copies have little of; a pair's overlap follows from
-    how many of these it shares. In a component of two, the two link.
+    most = F.expr(f"({100 - percent} * ({a}.n + {b}.n)) div {100 + percent}")
+    ok = ok & (odd <= most)
+    if not whole:
+        return ok
+    x, y = F.col(f"{a}.y"), F.col(f"{b}.y")
+    half = lambda v: F.zip_with(F.slice(v, F.lit(1), F.size(v) / 2), F.slice(v, F.size(v) / 2 + 1, F.size(v)), lambda p, q: p.bitwiseXOR(q))
+    folded = lambda v, w: F.when(F.size(v) > F.size(w), half(v)).otherwise(v)
+    differ = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+    return ok & (differ <= most)
+
+
+def verified(labels: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """c, to, n_links: rows whose numbers of links add up to each class's, and whose `to` gives the links' components.
+
+    labels are components of candidates, outside which there are no links. All
+    members of one meet, in blocks of about `block` classes (or 1 M shingles), a
+    task for each pair of blocks. There each set is what it lacks of one set of the
+    block and what it adds, which near copies have little of; a pair's overlap
+    follows from how many of these it shares.
     """
     x = labels.withColumnRenamed("doc", "c").join(sets.select("c", F.size("tokens").cast("long").alias("n")), "c")
     sizes = x.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    sizes = sizes.select("component", "m", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / 1_000_000)).alias("blocks"))
-    x = saved(x.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("c"), "blocks")), "join-blocks")
-    two = x.filter("m = 2").select("c", F.lit(1).cast("long").alias("n_links"))
-    more = x.filter("m > 2").select("c", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    more = more.select("c", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "c")
+    sizes = sizes.select("component", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / 1_000_000)).alias("blocks"))
+    x = x.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("c"), "blocks"))
+    x = x.select("c", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    x = x.select("c", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "c")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -205,46 +214,38 @@ def degrees(labels: DataFrame, sets: DataFrame, percent: int, block: int = 1024)
             pos = np.repeat(low - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
             np.add.at(both, (np.repeat(owner, reps), at[pos]), 1)
         hit = (100 * both >= percent * (n[:, None] + m[None, :] - both)) & (c[:, None] != d[None, :])
-        out = pd.DataFrame({"c": c, "n_links": hit.sum(1)})
-        return out if i == j else pd.concat([out, pd.DataFrame({"c": d, "n_links": hit.sum(0)})])
-
-    counted = more.groupBy("component", "i", "j").applyInPandas(count, "c long, n_links long")
-    return two.unionByName(counted).groupBy("c").agg(F.sum("n_links").alias("n_links"))
+        # the least class that links within these blocks reach
+        x, y = c.copy(), d.copy()
+        while len(x) and len(y):
+            to = np.minimum(x, np.where(hit, y[None, :], np.iinfo(np.int64).max).min(1))
+            back = np.minimum(y, np.where(hit, to[:, None], np.iinfo(np.int64).max).min(0))
+            if i == j:
+                to = back = np.minimum(to, back)
+            if (to == x).all() and (back == y).all():
+                break
+            x, y = to, back
+        out = pd.DataFrame({"c": c, "to": x, "n_links": hit.sum(1)})
+        return out if i == j else pd.concat([out, pd.DataFrame({"c": d, "to": y, "n_links": hit.sum(0)})])
+
+    return x.groupBy("component", "i", "j").applyInPandas(count, "c long, to long, n_links long")
 
 
 def _with_centres(rows: DataFrame, signs: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Candidates (a, b) of each list's members with one of them, a; rows may have components, within which none is sought."""
-    by = F.xxhash64("c", F.lit(seed))
-    extra = ["component"] if "component" in rows.columns else []
-    centre = rows.groupBy("token").agg(F.min(F.struct(by.alias("by"), "c", "n", "pos", *extra)).alias("y"))
+    """Candidates (a, b) of each list's members with one of them, a."""
+    centre = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("by"), "c", "n", "pos")).alias("y"))
     x = rows.alias("x").join(centre, "token").filter(F.col("x.c") != F.col("y.c"))
-    if extra:
-        x = x.filter(F.col("x.component") != F.col("y.component"))
     pairs = x.filter(_may_meet("x", "y", percent)).select(F.col("y.c").alias("a"), F.col("x.c").alias("b")).distinct()
     return pairs.join(signs.alias("x"), F.col("b") == F.col("x.c")).join(signs.alias("y"), F.col("a") == F.col("y.c")).filter(_alike("x", "y", percent)).select("a", "b")
 
 
 def _across(rows: DataFrame, signs: DataFrame, percent: int, meet: bool = True) -> DataFrame:
     """Candidates (a, b) of each list's members outside its major component with the members of other components."""
-    full = rows.join(signs.drop("n"), "c")
+    full = rows.join(signs.drop("n", "y"), "c")
     x, y = full.filter("component != major").alias("x"), full.alias("y")
     on = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.component") < F.col("y.component")))
-    x = x.join(y, F.col("x.token") == F.col("y.token")).filter(on & _alike("x", "y", percent) & (_may_meet("x", "y", percent) if meet else F.lit(True)))
-    return x.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-
-
-def _candidates(rows: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """c of all rows that are a candidate with any other (and of all rows of lists with too many pairs)."""
-    pairs = _with_centres(rows, signs, percent, 0).unionByName(_with_centres(rows, signs, percent, 1))
-    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "join-seen")
-    # those that met nobody yet, each a component of its own, with all others; the rest as one, which no class has for a name
-    named = rows.join(ends.withColumn("seen", F.lit(True)), "c", "left")
-    named = named.withColumn("component", F.when(F.col("seen"), F.lit("")).otherwise(F.col("c").cast("string"))).withColumn("major", F.lit("")).drop("seen")
-    lists = named.groupBy("token").agg((F.sum(F.when(F.col("component") != "", 1).otherwise(0)) * F.count("*")).alias("left")).filter("left > 0")
-    left = saved(named.join(lists, "token"), "join-unseen")
-    more = _across(left.filter(F.col("left") <= MOST_PAIRS), signs, percent).select(F.explode(F.array("a", "b")).alias("c"))
-    large = left.filter(F.col("left") > MOST_PAIRS).select("c")
-    return saved(ends.unionByName(more).unionByName(large).distinct(), "join-candidates")
+    x = x.join(y, F.col("x.token") == F.col("y.token")).filter(on & _alike("x", "y", percent, False) & (_may_meet("x", "y", percent) if meet else F.lit(True)))
+    pairs = x.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+    return pairs.join(signs.alias("x"), F.col("b") == F.col("x.c")).join(signs.alias("y"), F.col("a") == F.col("y.c")).filter(_alike("x", "y", percent)).select("a", "b")
 
 
 def _mixed(rows: DataFrame, labels: DataFrame, what: str) -> DataFrame:
@@ -264,21 +265,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc", "key", "n", "c", *SIGNATURE]
+        names = ["doc", "key", "n", "c", *SIGNATURE, "y"]
         sketch = Sketch()
         for b in batches:
             out = []
             for doc, key, text in zip(b["doc"], b["key"].tolist(), b["text"], strict=True):
                 s = shingle_set(text, k)
-                out.append((doc, key, len(s), class_of(s), *(signature(s, percent) if len(s) else [0] * len(SIGNATURE))))
+                out.append((doc, key, len(s), class_of(s), *(signature(s, percent) if len(s) else [0] * len(SIGNATURE)), long_parity(s) if len(s) else None))
                 sketch.add(s)
             yield pd.DataFrame(out, columns=names).astype({"doc": "Int64"}).assign(chunk=pd.Series(pd.NA, index=range(len(out)), dtype="Int32"), counts=None)
-        none = pd.DataFrame({x: pd.Series([pd.NA], dtype="Int64") for x in names})
+        none = pd.DataFrame({x: pd.Series([pd.NA], dtype="Int64") for x in names[:-1]}).assign(y=None)
         for chunk, counts in sketch.chunks():
             yield none.assign(chunk=pd.Series([chunk], dtype="Int32"), counts=[counts])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc", "text"))
-    kind = "doc long, key long, n long, c long, " + ", ".join(f"{x} long" for x in SIGNATURE) + ", chunk int, counts binary"
+    kind = "doc long, key long, n long, c long, " + ", ".join(f"{x} long" for x in SIGNATURE) + ", y array<long>, chunk int, counts binary"
     written = saved(d.mapInPandas(sketched, kind), "join-members")
     members = written.filter("chunk is null")
     levels = commonness(written.filter("chunk is not null").select("chunk", "counts"))
@@ -302,44 +303,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     t = d.select("text").mapInPandas(prefixes, "token long, c long, n int, pos int")
     shared = t.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
     rows = saved(t.join(shared, "token", "left_semi").distinct(), "join-prefixes")
-    signed = members.filter("n > 0").groupBy("c").agg(F.min("key").alias("key"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in SIGNATURE])
-    signs = saved(signed.join(rows.select("c").distinct(), "c", "left_semi"), "join-signatures")
-    alive = _candidates(rows, signs.drop("key"), percent)
-    signs = saved(signs.join(alive, "c", "left_semi"), "join-alive")
-    rows = rows.join(alive, "c", "left_semi")
-    wanted, signs = signs.select("key", "c"), signs.drop("key")
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(c, s) for text, c in zip(b["text"], b["c"].tolist(), strict=True) if class_of(s := shingle_set(text, k)) == c]
-            yield pd.DataFrame(out, columns=["c", "tokens"])
-
-    sets = d.join(wanted, "key").select("text", "c").mapInPandas(sets_of, "c long, tokens array<long>")
-    sets = saved(sets.dropDuplicates(["c"]), "join-sets")
-    verified = lambda pairs: saved(_verified(saved(pairs, "join-pairs"), sets, percent), "join-links")
-    # 2. centres, round after round in lists that hold several components still
-    links = verified(_with_centres(rows, signs, percent, 0))
-    labels = components(links, "join-labels")
+    signed = members.filter("n > 0").groupBy("c").agg(F.min("key").alias("key"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in [*SIGNATURE, "y"]])
+    wanted = saved(signed.join(rows.select("c").distinct(), "c", "left_semi"), "join-signatures")
+    signs = wanted.drop("key")
+    # 2. candidates of centres, then across their components
+    pairs = _with_centres(rows, signs, percent, 0)
+    for seed in range(1, CENTRES):
+        pairs = pairs.unionByName(_with_centres(rows, signs, percent, seed))
+    pairs = saved(pairs, "join-candidates")
+    labels = components(pairs, "join-labels")
     left = _mixed(rows, labels, "join-mixed")
-    for r in range(1, ROUNDS):
-        links = links.unionByName(verified(_with_centres(left, signs, percent, r)))
-        labels = components(links, "join-labels")
-        left = _mixed(left.select("token", "c", "n", "pos"), labels, "join-mixed")
-    # 3. what is left: members outside a list's largest component with those of others
-    pairs = _across(left.filter(F.col("left") <= MOST_PAIRS), signs, percent)
+    more = _across(left.filter(F.col("left") <= MOST_PAIRS), signs, percent)
     large = left.filter(F.col("left") > MOST_PAIRS)
     if not large.isEmpty():
 
         def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                keys = [part_keys(s, percent) for s in b["tokens"]]
+                sets = [shingle_set(text, k) for text in b["text"]]
+                keys = [part_keys(s, percent) for s in sets]
                 n = [len(x) for x in keys]
-                yield pd.DataFrame({"token": np.concatenate(keys) if keys else np.zeros(0, np.int64), "c": np.repeat(b["c"].to_numpy(), n), "n": np.repeat([len(s) for s in b["tokens"]], n), "pos": 0})
+                yield pd.DataFrame({"token": np.concatenate(keys) if keys else np.zeros(0, np.int64), "c": np.repeat(b["c"].to_numpy(), n), "n": np.repeat([len(s) for s in sets], n), "pos": 0})
+
+        # 3. narrower lists
+        narrow = d.join(wanted.select("key", "c").join(large.select("c").distinct(), "c", "left_semi"), "key").select("text", "c")
+        narrow = saved(narrow.mapInPandas(parts, "token long, c long, n int, pos int").distinct(), "join-parts")
+        more = more.unionByName(_across(_mixed(narrow, labels, "join-mixed"), signs, percent, False)).distinct()
+    more = saved(more, "join-candidates")
+    labels = components(pairs.unionByName(more), "join-labels")
 
-        narrow = sets.join(large.select("c").distinct(), "c", "left_semi").mapInPandas(parts, "token long, c long, n int, pos int")
-        pairs = pairs.unionByName(_across(_mixed(narrow, labels, "join-parts"), signs, percent, False)).distinct()
-    links = links.unionByName(verified(pairs))
-    labels = components(links, "join-labels")
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(c, s) for text, c in zip(b["text"], b["c"].tolist(), strict=True) if class_of(s := shingle_set(text, k)) == c]
+            yield pd.DataFrame(out, columns=["c", "tokens"])
+
+    # 4. sets of documents with candidates, and the links among them
+    wanted = wanted.select("key", "c").join(labels.select(F.col("doc").alias("c")), "c", "left_semi")
+    sets = d.join(wanted, "key").select("text", "c").mapInPandas(sets_of, "c long, tokens array<long>")
+    sets = saved(sets.dropDuplicates(["c"]), "join-sets")
+    links = saved(verified(labels, sets, percent), "join-links")
+    labels = components(links.filter("c != to").select(F.col("c").alias("a"), F.col("to").alias("b")), "join-labels")
     # back to documents
     classes = members.filter("n > 0").groupBy("c").agg(F.min("doc").alias("least"))
     of = classes.join(labels, F.col("c") == F.col("doc"), "left").select("c", "least", F.coalesce("component", "c").alias("component"))
@@ -347,7 +349,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of = of.join(ids, "component")
     more = []
     if counts:
-        of = of.join(saved(degrees(labels, sets, percent), "join-degrees"), "c", "left")
+        of = of.join(links.groupBy("c").agg(F.sum("n_links").alias("n_links")), "c", "left")
         more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     if keep_keys:
         more += [F.col("key").alias("row_key"), F.when(F.col("n") > 0, F.col("component")).alias("component_key")]
