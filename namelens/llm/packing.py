@@ -101,69 +101,120 @@ def best_fit(bins: list[list[int]], fill: list[int], items: list[int], size: lis
                 bisect.insort(room, (capacity - size[x], len(bins) - 1))
 
 
+def lower_bound(size: list[int], capacity: int) -> int:
+    """No packing has fewer bins (Martello and Toth's L2): for each k, items over capacity - k are alone, items over half are apart, and those of k to half go beside the latter."""
+    x = np.sort(np.array(size, np.int64))
+    if not len(x):
+        return 0
+    sums = np.concatenate([[0], np.cumsum(x)])
+    upto = lambda v: np.searchsorted(x, v, "right")
+    half = upto(capacity // 2)
+    k = np.unique(np.concatenate([[0], x[:half]]))
+    alone, low = upto(capacity - k), np.searchsorted(x, k, "left")
+    apart = len(x) - half
+    room = (alone - half) * capacity - (sums[alone] - sums[half])
+    beside = np.maximum(0, -(-(sums[half] - sums[np.minimum(low, half)] - room) // capacity))
+    return int((apart + beside).max())
+
+
+Packing = tuple[list[list[int]], list[int]]  # bins and their fills
+
+
 def fitness(fill: list[int], capacity: int) -> float:
     """Mean squared fill: more for fewer and more unevenly filled bins."""
     return sum((f / capacity) ** 2 for f in fill) / max(1, len(fill))
 
 
-def cross(a: list[list[int]], b: list[list[int]], size: list[int], capacity: int, rng: random.Random, share: float = 0.5) -> list[list[int]]:
-    """b with the best-filled bins of a: bins of b that share a piece go, displaced pieces are best-fitted."""
-    ranked = sorted(a, key=lambda g: -sum(size[x] for x in g))
-    n = max(1, int(len(ranked) * share * (0.5 + rng.random())))
-    taken = [list(g) for g in ranked[:n]]
-    inside = {x for g in taken for x in g}
-    kept, displaced = [], []
-    for g in b:
-        if inside.isdisjoint(g):
-            kept.append(list(g))
-        else:
-            displaced += [x for x in g if x not in inside]
+def swap_in(bins: list[list[int]], fill: list[int], loose: list[int], size: list[int], capacity: int) -> list[int]:
+    """Replaces one or two pieces of a bin by a loose one that fills it better, in place; returns what is loose then (Martello and Toth's dominance)."""
+    left = sorted((size[x], x) for x in loose)
+    for g, items in enumerate(bins):
+        space = capacity - fill[g]
+        if not space or not left:
+            continue
+        best = None
+        for i, x in enumerate(items):
+            for j in range(i, len(items)):
+                out = size[x] + (size[items[j]] if j > i else 0)
+                k = bisect.bisect_right(left, (out + space, 1 << 62)) - 1
+                if k >= 0 and (gain := left[k][0] - out) > 0 and (best is None or gain > best[0]):
+                    best = (gain, i, j, k)
+        if best:
+            gain, i, j, k = best
+            new = left.pop(k)[1]
+            gone = {i, j}
+            for v in gone:
+                bisect.insort(left, (size[items[v]], items[v]))
+            bins[g] = [x for v, x in enumerate(items) if v not in gone] + [new]
+            fill[g] += gain
+    return [x for _, x in left]
+
+
+def cross(a: Packing, b: Packing, size: list[int], capacity: int, rng: random.Random) -> Packing:
+    """b with well-filled bins of a injected: bins of b that share a piece with them go, the pieces displaced go in by swaps and then best fit."""
+    ranked = sorted(range(len(a[0])), key=lambda g: (-a[1][g], rng.random()))
+    n = max(1, int(len(ranked) * (0.1 + 0.4 * rng.random())))
+    taken = ranked[:n]
+    inside = {x for g in taken for x in a[0][g]}
+    kept = [g for g in range(len(b[0])) if inside.isdisjoint(b[0][g])]
     # the worst of the bins kept are opened too, so that displaced pieces find partners
-    kept.sort(key=lambda g: -sum(size[x] for x in g))
-    cut = len(kept) - max(1, len(kept) // 10) if kept else 0
-    displaced += [x for g in kept[cut:] for x in g]
-    bins = taken + kept[:cut]
-    fill = [sum(size[x] for x in g) for g in bins]
-    best_fit(bins, fill, displaced, size, capacity)
-    return bins
+    kept.sort(key=lambda g: -b[1][g])
+    kept = kept[: len(kept) - max(1, len(kept) // 20)] if kept else []
+    bins = [list(a[0][g]) for g in taken] + [list(b[0][g]) for g in kept]
+    fill = [a[1][g] for g in taken] + [b[1][g] for g in kept]
+    held = {x for g in bins for x in g}
+    loose = [x for x in range(len(size)) if x not in held]
+    for _ in range(2):
+        loose = swap_in(bins, fill, loose, size, capacity)
+    best_fit(bins, fill, loose, size, capacity)
+    return bins, fill
+
 
+def packing_of(bins: list[list[int]], size: list[int]) -> Packing:
+    return bins, [sum(size[x] for x in g) for g in bins]
 
-def evolve(size: list[int], population: list[list[list[int]]], *, capacity: int, generations: int, members: int, seed: int) -> list[list[list[int]]]:
-    """The population after some generations, best first. It stops at the lower bound of the number of bins."""
+
+def evolve(size: list[int], population: list[Packing], *, capacity: int, generations: int, members: int, patience: int, seed: int) -> list[Packing]:
+    """The population after generations, best first. It stops at the lower bound of the number of bins, or where `patience` generations in a row gain nothing."""
     rng = random.Random(seed)
     items = list(range(len(size)))
-    bound = -(-sum(size) // capacity)
-    fills = lambda p: [sum(size[x] for x in g) for g in p]
-    score = lambda p: (len(p), -fitness(fills(p), capacity))
+    bound = lower_bound(size, capacity)
+    score = lambda p: (len(p[0]), -fitness(p[1], capacity))
     people = list(population)
-    while len(people) < members:
-        bins: list[list[int]] = []
-        fill: list[int] = []
-        if people:  # a random part first fit in random order, the rest best fit
-            some = rng.sample(items, len(items) // 4)
-            for x in some:
-                if fill and fill[-1] + size[x] <= capacity:
-                    bins[-1].append(x)
-                    fill[-1] += size[x]
-                else:
-                    bins.append([x])
-                    fill.append(size[x])
-            chosen = set(some)
-            best_fit(bins, fill, [x for x in items if x not in chosen], size, capacity)
-        else:
-            best_fit(bins, fill, items, size, capacity)
-        people.append(bins)
+    if not people:
+        bins, fill = [], []
+        best_fit(bins, fill, items, size, capacity)
+        people.append((bins, fill))
+    while len(people) < members and len(min(people, key=score)[0]) > bound:
+        # others: a random part dissolved and put back, some of it in random order
+        bins, fill = [list(g) for g in people[0][0]], list(people[0][1])
+        out = set(rng.sample(range(len(bins)), len(bins) // 2))
+        loose = [x for g in out for x in bins[g]]
+        bins, fill = [g for i, g in enumerate(bins) if i not in out], [f for i, f in enumerate(fill) if i not in out]
+        rng.shuffle(loose)
+        some = loose[: len(loose) // 3]
+        for x in some:
+            if fill and fill[-1] + size[x] <= capacity:
+                bins[-1].append(x)
+                fill[-1] += size[x]
+            else:
+                bins.append([x])
+                fill.append(size[x])
+        best_fit(bins, fill, loose[len(loose) // 3 :], size, capacity)
+        people.append((bins, fill))
     people.sort(key=score)
+    idle = 0
     for _ in range(generations):
-        if len(people[0]) <= bound:
+        if len(people[0][0]) <= bound or idle >= patience or len(people) < 2:
             break
-        i, j = sorted(rng.sample(range(len(people)), 2))
-        child = cross(people[i], people[j], size, capacity, rng)
-        people = sorted([*people, child], key=score)[:members]
+        i, j = rng.sample(range(len(people)), 2)
+        before = score(people[0])
+        people = sorted([*people, cross(people[i], people[j], size, capacity, rng)], key=score)[:members]
+        idle = 0 if score(people[0]) < before else idle + 1
     return people
 
 
-def _epoch(capacity: int, generations: int, members: int, migrants: bool):
+def _epoch(capacity: int, generations: int, members: int, patience: int, migrants: bool):
     """One epoch of one island: rows are its pieces, with the elite's bin of each in column elite (or null)."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,26 +226,26 @@ def _epoch(capacity: int, generations: int, members: int, migrants: bool):
                 groups: dict[int, list[int]] = {}
                 for x, g in enumerate(pdf[name]):
                     groups.setdefault(int(g), []).append(x)
-                population.append(list(groups.values()))
-        people = evolve(size, population, capacity=capacity, generations=generations, members=members, seed=int(key[0]) * 31 + int(key[1]) * 7 + migrants)
+                population.append(packing_of(list(groups.values()), size))
+        people = evolve(size, population, capacity=capacity, generations=generations, members=members, patience=patience, seed=int(key[0]) * 31 + int(key[1]) * 7 + migrants)
         best = np.zeros(len(size), np.int64)
-        for g, xs in enumerate(people[0]):
+        for g, xs in enumerate(people[0][0]):
             best[xs] = g
-        return pd.DataFrame({"block": key[0], "island": key[1], "row_id": pdf["row_id"], "length": size, "bin": best, "bins": len(people[0])})
+        return pd.DataFrame({"block": key[0], "island": key[1], "row_id": pdf["row_id"], "length": size, "bin": best, "bins": len(people[0][0])})
 
     return run
 
 
-def pack_blocks(items: DataFrame, *, capacity: int, islands: int, epochs: int, generations: int, members: int) -> DataFrame:
+def pack_blocks(items: DataFrame, *, capacity: int, islands: int, epochs: int, generations: int, members: int, patience: int) -> DataFrame:
     """items (row_id, length, block) with the bin in their block's best individual of any island."""
     kind = "block long, island long, row_id long, length long, bin long, bins long"
     d = items.select("block", "row_id", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(islands - 1).cast("long"))).alias("island"))
-    got = d.groupBy("block", "island").applyInPandas(_epoch(capacity, generations, members, False), kind)
+    got = d.groupBy("block", "island").applyInPandas(_epoch(capacity, generations, members, patience, False), kind)
     for _ in range(epochs - 1):
         got = saved(got, "pack-epoch")
         elite = got.select("block", "row_id", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("bin").alias("elite"))
         both = got.withColumnRenamed("bin", "own").drop("bins").join(elite, ["block", "island", "row_id"])
-        got = both.groupBy("block", "island").applyInPandas(_epoch(capacity, generations, members, True), kind)
+        got = both.groupBy("block", "island").applyInPandas(_epoch(capacity, generations, members, patience, True), kind)
     got = saved(got, "pack-islands")
     won = got.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("best"))
     return got.join(won, "block").filter(F.col("island") == F.col("best.island")).select("block", "row_id", "length", "bin")
@@ -202,7 +253,7 @@ def pack_blocks(items: DataFrame, *, capacity: int, islands: int, epochs: int, g
 
 def pack(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0,
-    block_items: int = 2000, islands: int = 2, epochs: int = 2, generations: int = 3, members: int = 3, well_filled: float = 0.995,
+    block_items: int = 2000, islands: int = 2, epochs: int = 2, generations: int = 60, members: int = 6, patience: int = 15, well_filled: float = 0.995,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     p = pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id)
@@ -215,7 +266,7 @@ def pack(
         if not n:
             break
         blocks = max(1, n // block_items)
-        params = {"capacity": capacity, "islands": islands, "epochs": epochs, "generations": generations, "members": members}
+        params = {"capacity": capacity, "islands": islands, "epochs": epochs, "generations": generations, "members": members, "patience": patience}
         got = saved(pack_blocks(small.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks))), **params), "pack-round")
         fill = got.groupBy("block", "bin").agg(F.sum("length").alias("fill"))
         got = got.join(fill, ["block", "bin"])
