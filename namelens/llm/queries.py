@@ -24,10 +24,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from namelens.llm import cotraining
+    from namelens.llm.cotraining import quality
 
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from namelens.llm import chat_format, cotraining, fingerprints, ngram_join, packing, quality_rules, source_mixing, substring_dedup, toxicity
+from namelens.llm import chat_format, fingerprints, ngram_join, packing, quality_rules, source_mixing, substring_dedup, toxicity
 from namelens.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -244,21 +244,6 @@ def test_toxicity_learns(spark):
     assert toxicity.score(d, toxicity.train(d, labels.limit(0))).filter("score > 0").count() == 0
 
 
-def test_cotraining_learns(spark):
-    rng = random.Random(4)
-    rows = []
-    for i in range(900):
-        junk = i % 3 == 0
-        w = [("###" if junk and rng.random() < 0.7 else "") + f"w{rng.randint(0, 500)}" for _ in range(50)]
-        rows.append((i, " ".join(w), "en", "bad" if junk else f"s{i % 3}", 1))
-    d = spark.createDataFrame([*rows, (900, None, None, None, None), (901, "", "en", "s1", 0)], SCHEMA)
-    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(0, 900, 2)], "doc_id long, quality int")
-    out = {r["doc_id"]: r["score"] for r in cotraining.score(d, cotraining.train(d, labels)).collect()}
-    odd = range(1, 900, 2)
-    assert sum((out[i] >= 0.5) == (i % 3 != 0) for i in odd) >= 0.97 * len(odd) and 0 <= out[900] <= 1
-    assert {r["score"] for r in cotraining.score(d, cotraining.train(d, labels.limit(0))).collect()} == {0.5}
-
-
 def test_substring_dedup_keeps_all_columns(spark):
     """Columns named like the new ones or like inner ones, null and shared ids, repeated rows."""
     text = " ".join(f"a{i}" for i in range(30))
