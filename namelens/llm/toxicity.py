@@ -33,8 +33,6 @@ from namelens.llm.common import saved
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-#: The lexicon's bound; the strongest by z-score stay.
-MAX_LEXICON = 50_000
 
 
 @dataclass
@@ -145,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 8000, max_clea
     a = a0 * (F.col("t") + F.col("c")) / F.lit(nt + nc) + F.lit(0.01)
     odds = lambda y, n: F.log((y + a) / (F.lit(n) + a0 - y - a))
     f = f.withColumns({"odds": odds(F.col("t"), nt) - odds(F.col("c"), nc), "z": (odds(F.col("t"), nt) - odds(F.col("c"), nc)) / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))})
-    found = f.filter((F.col("z") >= least_z) & (F.col("odds") >= least_odds)).orderBy(F.desc("z"), "feature").limit(MAX_LEXICON).select("feature", "odds").collect()
+    # each holds in several toxic texts of the sample, so max_toxic bounds their number, whatever the corpus
+    found = f.filter((F.col("z") >= least_z) & (F.col("odds") >= least_odds)).select("feature", "odds").collect()
     model = Model(scores={r["feature"]: float(r["odds"]) for r in found})
     return _calibrate(sample, model)
 
