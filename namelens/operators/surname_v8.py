@@ -173,11 +173,14 @@ def decide(df: DataFrame, *, name: str = "name_raw", affiliation: str = "affilia
 
 
 def _counted(df: DataFrame, key: str, least: Column) -> DataFrame:
-    """df with the numbers of confident rows of each order in the row's group; 0 for rows without a group."""
+    """df with the numbers of confident rows of each order in the row's group; 0 for rows without a group, which are not shuffled."""
     sure = lambda o: F.sum(((F.col("order") == o) & (F.col("confidence") >= least)).cast("long"))
-    counts = df.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").groupBy(F.col(key).alias("__k"))
+    grouped = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+    counts = df.filter(grouped).groupBy(F.col(key).alias("__k"))
     counts = counts.agg(sure("family_first").alias("__fam"), sure("given_first").alias("__giv")).filter("__fam + __giv > 0")
-    return df.join(counts, F.col(key) == F.col("__k"), "left").drop("__k").fillna(0, ["__fam", "__giv"])
+    joined = df.filter(grouped).join(counts, F.col(key) == F.col("__k"), "left").drop("__k").fillna(0, ["__fam", "__giv"])
+    none = F.lit(0).cast("long")
+    return joined.unionByName(df.filter(~grouped).withColumns({"__fam": none, "__giv": none}))
 
 
 def _overridden(df: DataFrame, rows: Column, target: Column, confidence: Column, reason: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namelens.functions.scratch import spread
+
 SURNAMES = ["Wang", "Li", "Zhang", "Liu", "Chen", "Yang", "Ouyang", "Hsu", "Wong", "Lee", "Smith", "Ivanov", "García", "Müller", "Tanaka", "Kim", "Savolainen", "Xu", "Ming", "Bo"]
 GIVENS = ["Wei", "Tianxiang", "Xiaohua", "Yuhui", "John", "David", "Anna", "José", "Li-Ming", "Petr", "Ming", "Fangan", "Michael", "Ivan", "Jian", "Xiang"]
 SOURCES = ["CROSSREF", "ORCID", "ISTINA", "DEFAULT"]
@@ -24,7 +26,7 @@ def _pick(words: list, at) -> F.Column:
 
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, source, person_id, publication_id, name_raw, affiliation_raw, lastname, firstname."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     x = o.select(
         k.cast("string").alias("record_id"),
