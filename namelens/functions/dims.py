@@ -35,54 +35,46 @@ ISTINA = ("ISTINA", "istina", "ИСТИНА")
 # --- fixed values: frequency rank of surname readings (the last of equal readings counts) ---
 
 FREQUENCY_RANK = {
-    k: int(v)
-    for k, v in (
-        x.split(":")
-        for x in """
-zhang:3 liu:4 chen:5 yang:6 huang:7 zhao:8 zhou:10 sun:12 ma:13 zhu:14 hu:15 guo:16 gao:18 lin:19 luo:20 zheng:21
-liang:22 xie:23 song:24 tang:25 xu:26 deng:27 han:28 feng:29 cao:30 peng:31 zeng:32 xiao:33 tian:34 dong:35 pan:36
-yuan:37 cai:38 yu:40 du:41 ye:42 cheng:43 su:45 ding:47 ren:48 shen:49 yao:50 lu:51 cui:53 tan:54 liao:55 fan:56
-wang:57 jin:59 wei:60 jia:61 xia:62 fang:64 zou:65 xiong:66 bai:67 meng:68 qin:69 qiu:70 hou:71 jiang:72 yin:73
-xue:74 duan:76 lei:77 long:78 li:79 shi:80 tao:81 he:82 gu:83 mao:84 hao:85 gong:86 shao:87 wan:88 qian:89 yan:90
-fu:91 wu:92 dai:93 mo:94 kong:95 xiang:96 chang:97
-""".split()
-    )
-}
+    "zhang": 3, "liu": 4, "chen": 5, "yang": 6, "huang": 7, "zhao": 8, "zhou": 10, "sun": 12, "ma": 13, "zhu": 14, "hu": 15, "guo": 16,
+    "gao": 18, "lin": 19, "luo": 20, "zheng": 21, "liang": 22, "xie": 23, "song": 24, "tang": 25, "xu": 26, "deng": 27, "han": 28,
+    "feng": 29, "cao": 30, "peng": 31, "zeng": 32, "xiao": 33, "tian": 34, "dong": 35, "pan": 36, "yuan": 37, "cai": 38, "yu": 40, "du": 41,
+    "ye": 42, "cheng": 43, "su": 45, "ding": 47, "ren": 48, "shen": 49, "yao": 50, "lu": 51, "cui": 53, "tan": 54, "liao": 55, "fan": 56,
+    "wang": 57, "jin": 59, "wei": 60, "jia": 61, "xia": 62, "fang": 64, "zou": 65, "xiong": 66, "bai": 67, "meng": 68, "qin": 69, "qiu": 70,
+    "hou": 71, "jiang": 72, "yin": 73, "xue": 74, "duan": 76, "lei": 77, "long": 78, "li": 79, "shi": 80, "tao": 81, "he": 82, "gu": 83,
+    "mao": 84, "hao": 85, "gong": 86, "shao": 87, "wan": 88, "qian": 89, "yan": 90, "fu": 91, "wu": 92, "dai": 93, "mo": 94, "kong": 95,
+    "xiang": 96, "chang": 97,
+}
 NO_RANK = 999
 
 # --- fixed values: romanisation variants of readings ---------------------------
 
 VARIANTS = {
-    k: v.split(",")
-    for k, v in (
-        x.split(":")
-        for x in """
-chan:chen wong:wang,huang ho:he chow:zhou cheung:zhang chung:zhong leung:liang lau:liu ng:wu,ng yip:ye mak:mo szeto:situ
-yeung:yang tam:tan cheng:zheng tse:xie siu:xiao ko:ge kwan:guan hsu:xu tsai:cai teng:deng chu:zhu ch'en:chen chang:zhang
-chao:zhao chou:zhou ch'ien:qian ch'in:qin ch'eng:cheng ch'ang:chang ts'ao:cao ts'ui:cui tung:dong tang:dang soong:song
-kung:kong kuo:guo lo:luo chiu:qiu lyu:lv
-""".split()
-    )
-}
+    "chan": ["chen"], "wong": ["wang", "huang"], "ho": ["he"], "chow": ["zhou"], "cheung": ["zhang"], "chung": ["zhong"],
+    "leung": ["liang"], "lau": ["liu"], "ng": ["wu", "ng"], "yip": ["ye"], "mak": ["mo"], "szeto": ["situ"], "yeung": ["yang"],
+    "tam": ["tan"], "cheng": ["zheng"], "tse": ["xie"], "siu": ["xiao"], "ko": ["ge"], "kwan": ["guan"], "hsu": ["xu"], "tsai": ["cai"],
+    "teng": ["deng"], "chu": ["zhu"], "ch'en": ["chen"], "chang": ["zhang"], "chao": ["zhao"], "chou": ["zhou"], "ch'ien": ["qian"],
+    "ch'in": ["qin"], "ch'eng": ["cheng"], "ch'ang": ["chang"], "ts'ao": ["cao"], "ts'ui": ["cui"], "tung": ["dong"], "tang": ["dang"],
+    "soong": ["song"], "kung": ["kong"], "kuo": ["guo"], "lo": ["luo"], "chiu": ["qiu"], "lyu": ["lv"],
+}
 
-# --- fixed values: traditional spellings, spelling:hanzi:reading; later systems override ---
+# --- fixed values: traditional spellings with hanzi and reading; later systems override ---
 
 TRADITIONAL = {
-    k: (h, p)
-    for k, h, p in (
-        x.split(":")
-        for x in """
-lee:李:li chang:张:zhang wang:王:wang chen:陈:chen lin:林:lin huang:黄:huang wu:吴:wu cheng:郑:zheng liu:刘:liu yang:杨:yang
-hsu:徐:xu hsieh:谢:xie chu:朱:zhu chao:赵:zhao sun:孙:sun ma:马:ma kao:高:gao chou:周:zhou chiang:蒋:jiang shen:沈:shen tsai:蔡:cai
-tseng:曾:zeng han:韩:han tang:唐:tang feng:冯:feng yu:于:yu tung:董:dong hsiao:萧:xiao chung:钟:zhong pan:潘:pan liang:梁:liang
-tien:田:tian fan:范:fan yen:严:yan lu:陆:lu shih:施:shi mao:毛:mao hao:郝:hao tai:戴:dai wan:温:wen wong:王/黄:wang/huang
-chan:陈:chen lam:林:lin ng:黄:huang cheung:张:zhang leung:梁:liang choi:蔡:cai tsang:曾:zeng yip:叶:ye lau:刘:liu mak:麦:mai
-tse:谢:xie yeung:杨:yang tam:谭:tan poon:潘:pan fong:方:fang ho:何:he au:区:ou ko:高:gao lok:骆:luo siu:萧:xiao tong:唐:tang
-lim:林:lin tan:陈:chen ong:王:wang teo:张:zhang goh:吴:wu koh:许:xu tay:郑:zheng ang:洪:hong foo:傅:fu kwa:柯:ke sim:沈:shen
-toh:卓:zhuo liou:刘:liu liew:刘:liu shieh:谢:xie hwang:黄:huang soong:宋:song lai:赖:lai yee:余:yu yuen:袁:yuan
-""".split()
-    )
-}
+    "lee": ("李", "li"), "chang": ("张", "zhang"), "wang": ("王", "wang"), "chen": ("陈", "chen"), "lin": ("林", "lin"), "huang": ("黄", "huang"),
+    "wu": ("吴", "wu"), "cheng": ("郑", "zheng"), "liu": ("刘", "liu"), "yang": ("杨", "yang"), "hsu": ("徐", "xu"), "hsieh": ("谢", "xie"),
+    "chu": ("朱", "zhu"), "chao": ("赵", "zhao"), "sun": ("孙", "sun"), "ma": ("马", "ma"), "kao": ("高", "gao"), "chou": ("周", "zhou"),
+    "chiang": ("蒋", "jiang"), "shen": ("沈", "shen"), "tsai": ("蔡", "cai"), "tseng": ("曾", "zeng"), "han": ("韩", "han"),
+    "tang": ("唐", "tang"), "feng": ("冯", "feng"), "yu": ("于", "yu"), "tung": ("董", "dong"), "hsiao": ("萧", "xiao"), "chung": ("钟", "zhong"),
+    "pan": ("潘", "pan"), "liang": ("梁", "liang"), "tien": ("田", "tian"), "fan": ("范", "fan"), "yen": ("严", "yan"), "lu": ("陆", "lu"),
+    "shih": ("施", "shi"), "mao": ("毛", "mao"), "hao": ("郝", "hao"), "tai": ("戴", "dai"), "wan": ("温", "wen"), "wong": ("王/黄", "wang/huang"),
+    "chan": ("陈", "chen"), "lam": ("林", "lin"), "ng": ("黄", "huang"), "cheung": ("张", "zhang"), "leung": ("梁", "liang"),
+    "choi": ("蔡", "cai"), "tsang": ("曾", "zeng"), "yip": ("叶", "ye"), "lau": ("刘", "liu"), "mak": ("麦", "mai"), "tse": ("谢", "xie"),
+    "yeung": ("杨", "yang"), "tam": ("谭", "tan"), "poon": ("潘", "pan"), "fong": ("方", "fang"), "ho": ("何", "he"), "au": ("区", "ou"),
+    "ko": ("高", "gao"), "lok": ("骆", "luo"), "siu": ("萧", "xiao"), "tong": ("唐", "tang"), "lim": ("林", "lin"), "tan": ("陈", "chen"),
+    "ong": ("王", "wang"), "teo": ("张", "zhang"), "goh": ("吴", "wu"), "koh": ("许", "xu"), "tay": ("郑", "zheng"), "ang": ("洪", "hong"),
+    "foo": ("傅", "fu"), "kwa": ("柯", "ke"), "sim": ("沈", "shen"), "toh": ("卓", "zhuo"), "liou": ("刘", "liu"), "liew": ("刘", "liu"),
+    "shieh": ("谢", "xie"), "hwang": ("黄", "huang"), "soong": ("宋", "song"), "lai": ("赖", "lai"), "yee": ("余", "yu"), "yuen": ("袁", "yuan"),
+}
 
 # --- fixed values: western name features ---------------------------------------
 
@@ -243,9 +235,10 @@ _FINALS = {
     "y": ["a", "o", "e", "ai", "ao", "ou", "an", "ang", "ong", "i", "in", "ing", "u", "ue", "uan", "un"],
     "w": ["a", "o", "ai", "ei", "an", "en", "ang", "eng", "u"],
 }
-#: Syllables of the names table: initials times their finals.
+#: Syllables of the names table, as initials times their finals.
 SYLLABLES = sorted({i + f for i, fs in _FINALS.items() for f in fs})
 
+# fixed values: Cyrillic forms of initials and finals
 _CYRILLIC_INITIAL = dict(
     zip(
         "b p m f d t n l g k h j q x zh ch sh r z c s w".split(),
@@ -335,3 +328,28 @@ def cyrillic_of(reading: str) -> str:
 
 
 DEFAULT = Dictionary.default()
+
+
+#: Spellings shared by languages, with the hanzi and reading in each.
+AMBIGUOUS = {
+    "choi": {"chinese": ("蔡", "cai"), "korean": ("崔", "choi")},
+    "han": {"chinese": ("韩", "han"), "korean": ("韩", "han")},
+    "ko": {"chinese": ("高", "gao"), "japanese": ("小", "ko")},
+    "tan": {"chinese": ("陈", "chen"), "japanese": ("谷", "tani")},
+}
+
+
+def palladius_table(spark):
+    """pinyin and cyrillic of every syllable that has a Cyrillic form."""
+    return spark.createDataFrame(sorted(PALLADIUS.items()), "pinyin string, cyrillic string")
+
+
+def surname_table(spark, d: Dictionary | None = None):
+    """hanzi, pinyin and n_chars of every surname and reading."""
+    rows = [(h, p, len(h)) for h, p in (d or DEFAULT).surnames]
+    return spark.createDataFrame(rows, "hanzi string, pinyin string, n_chars int")
+
+
+def foreign_table(spark, d: Dictionary | None = None):
+    """surname and origin of every surname of another language."""
+    return spark.createDataFrame(list((d or DEFAULT).foreign), "surname string, origin string")

@@ -78,6 +78,12 @@ def cyrillic(text: Column, d: dims.Dictionary = dims.DEFAULT, sep: str = "") ->
     return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))
 
 
+def cyrillic_surname(text: Column, d: dims.Dictionary = dims.DEFAULT) -> Column:
+    """The Palladius form of a surname: the first letter in upper case, all others in lower case."""
+    s = cyrillic(text, d)
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, F.lit(2), F.length(s))))
+
+
 def is_syllable(c: Column) -> Column:
     return is_in(F.lower(c), dims.SYLLABLES)
 

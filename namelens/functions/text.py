@@ -81,6 +81,16 @@ def has_hanzi(c: Column) -> Column:
     return holds_any(c, r"[一-鿿]")
 
 
+def all_hanzi(c: Column) -> Column:
+    """Whether a text is not empty and all its characters are hanzi."""
+    return F.coalesce(c.rlike(r"^[一-鿿]+\z"), F.lit(False))
+
+
+def is_hanzi_char(c: Column) -> Column:
+    """Whether a text is one character of the basic block of ideographs."""
+    return F.coalesce(c.rlike(r"^[一-鿾]\z"), F.lit(False))
+
+
 def western_suffix(c: Column) -> Column:
     """Ends like a western surname, with two characters and more before the ending."""
     return holds_any(F.lower(c), "(?s)..(?:" + "|".join(dims.WESTERN_SUFFIXES) + r")\z")
@@ -156,6 +166,11 @@ def traditional(c: Column) -> Column:
     return F.try_element_at(known, strip_space(F.lower(c)))
 
 
+def is_ambiguous(c: Column) -> Column:
+    """Whether a spelling stands for surnames of several languages, so that the given name must decide."""
+    return is_in(strip_space(F.lower(c)), list(dims.AMBIGUOUS))
+
+
 def is_surname_pinyin(c: Column, d: dims.Dictionary = dims.DEFAULT) -> Column:
     return is_in(F.lower(c), d.pinyin)
 

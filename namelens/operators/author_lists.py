@@ -93,12 +93,15 @@ def parse_lists(df: DataFrame, *, list_id: str = "list_id", authors: str = "auth
     """A row for each author: list_id, position, author, order used, surname, given_name, middle_name, is_first_author.
 
     The first author keeps its own order; the others take the sign of the sum of the others' orders.
+    A list without an id, or with one that others have too, votes for itself.
     """
-    x = df.select(F.col(list_id).alias("list_id"), F.posexplode(split_authors(F.col(authors))).alias("position", "author"))
+    # lists that share an id are told apart by their text; lists alike in both have the same vote
+    own = F.xxhash64(F.col(list_id), F.col(authors))
+    x = df.select(F.col(list_id).alias("list_id"), own.alias("own"), F.posexplode(split_authors(F.col(authors))).alias("position", "author"))
     x = with_order(x, "author", dictionary=dictionary)
     # the vote stays with its list: one shuffle of numbers, joined back by list
-    votes = x.filter("position > 0").groupBy("list_id").agg(F.signum(F.sum("name_order")).cast("int").alias("vote"))
-    x = x.join(votes, "list_id", "left")
+    votes = x.filter("position > 0").groupBy("own").agg(F.signum(F.sum("name_order")).cast("int").alias("vote"))
+    x = x.join(votes, "own", "left")
     used = F.when(F.col("position") == 0, F.col("name_order")).otherwise(F.coalesce("vote", F.lit(0)))
     x = x.withColumn("used_order", used).withColumn("parts", parsed(F.col("author"), F.col("used_order"))).filter(F.col("parts").isNotNull())
     return x.select("list_id", "position", "author", "used_order", "parts.*", (F.col("position") == 0).alias("is_first_author"))

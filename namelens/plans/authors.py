@@ -52,6 +52,21 @@ def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("name_raw", name).drop("layout")
 
 
+#: Names of several scripts and forms.
+NAMES = [
+    "王小明", "欧阳娜娜", "司马 相如", "Wang Xiaoming", "Ван Сяомин", "Иванов Иван Петрович", "Li-Ming Chen", "Chen Li-Ming", "Müller, Hans", "(Zhang) Wei",
+    "Zhang Wei (张伟)", "J. Smith", "Smith J.", "Liu Y.", "Y. Liu", "张", "", " ", None, "爱新觉罗溥仪", "Ouyang Xiu", "Petr Ivanovich Sidorov", "WANG, Xiao+Ming",
+    "Li Wang", "Wang Wei Li", "陈", "*Zhao Jian", "Xu-Dong Li", "Anna Maria Kim", "Сидорова Анна", "ВАН ВЭЙ", "李（Li）明", "Ma Jr", "Kh. Ivanov", "José García", "Choi Min", "Tan", "Han Solo",
+]
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name_id, name, other: of each customer, two of the names above."""
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
+    k = F.col("c_custkey")
+    return c.select(k.alias("name_id"), _pick(NAMES, k).alias("name"), _pick(NAMES, k * 7 + F.expr("c_custkey div 38")).alias("other"))
+
+
 def _list(words: list) -> str:
     return "[" + ", ".join("NULL" if w is None else "'" + w.replace("'", "''") + "'" for w in words) + "]"
 
@@ -70,3 +85,8 @@ authors AS (
       WHEN 2 THEN lastname || ' ' || left(firstname, 1) || '.' WHEN 3 THEN left(firstname, 1) || '. ' || lastname
       WHEN 4 THEN lastname || ', ' || firstname WHEN 5 THEN lastname || ' ' || left(firstname, 1) || '. B.' ELSE lastname END AS name_raw
   FROM a0)"""
+
+NAMES_SQL = f"""
+names AS (
+  SELECT c_custkey AS name_id, {_list(NAMES)}[1 + c_custkey % {len(NAMES)}] AS name, {_list(NAMES)}[1 + (c_custkey * 7 + c_custkey // 38) % {len(NAMES)}] AS other
+  FROM customer)"""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from namelens.functions import dims, pinyin
 from namelens.functions import text as t
-from namelens.operators import author_filter, author_lists, institutions, quality, surname_older, surname_v8
-from namelens.plans import sql
-from namelens.plans.authors import authors
+from namelens.operators import author_filter, author_lists, institutions, processor, quality, surname_older, surname_v8
+from namelens.plans import sql, sql_names
+from namelens.plans.authors import authors, names
 
 FLAGSHIP = "v8_summary"
 
@@ -124,7 +124,15 @@ def transliterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every surname of the dictionary with its reading, its Cyrillic form and lookups by either."""
     rows = spark.createDataFrame([(h,) for h in dims.DEFAULT.hanzi], "hanzi string")
     c = F.col("hanzi")
-    return rows.select("hanzi", F.array_join(pinyin.readings(c), " ").alias("reading"), pinyin.cyrillic(c).alias("cyrillic"), pinyin.cyrillic(c, sep=" ").alias("cyrillic_spaced"), t.surname_of(F.concat(c, F.lit("某"))).alias("surname"))
+    return rows.select(
+        "hanzi", F.array_join(pinyin.readings(c), " ").alias("reading"), pinyin.cyrillic(c).alias("cyrillic"), pinyin.cyrillic(c, sep=" ").alias("cyrillic_spaced"),
+        pinyin.cyrillic_surname(c).alias("cyrillic_surname"), t.surname_of(F.concat(c, F.lit("某"))).alias("surname"),
+    )
+
+
+def palladius_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of pinyin syllables and their Cyrillic forms, as the dimension that it is."""
+    return dims.palladius_table(spark)
 
 
 def surname_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +141,64 @@ def surname_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("pinyin").agg(F.array_join(F.sort_array(F.collect_set("hanzi")), " ").alias("hanzi"))
 
 
+def surname_index_cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index from Cyrillic forms to surnames."""
+    rows = spark.createDataFrame([(h,) for h in dims.DEFAULT.hanzi], "hanzi string")
+    rows = rows.withColumn("cyrillic", F.lower(pinyin.cyrillic(F.col("hanzi"))))
+    return rows.groupBy("cyrillic").agg(F.array_join(F.sort_array(F.collect_set("hanzi")), " ").alias("hanzi"))
+
+
+def processed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of several scripts taken apart."""
+    d = processor.process(names(spark, sf_dir), "name")
+    return d.select("name_id", "surname", "first_name", "confidence")
+
+
+def processed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = processor.detect_order(names(spark, sf_dir), "name")
+    return d.select("name_id", F.array_join("name_parts", "|").alias("parts"), "name_order", "detected_order", "confidence")
+
+
+def mixed_name_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = author_lists.details(names(spark, sf_dir), "name")
+    given = F.array_join(F.transform("is_first_name_map", lambda x: x.cast("int").cast("string")), "")
+    return d.select("name_id", "name_order", "detected_order", F.array_join("name_parts", "|").alias("parts"), given.alias("given"), "is_non_chinese", "confidence")
+
+
+def mixed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of names of several scripts; every third one without an id, every seventh with an id that others have too."""
+    n = names(spark, sf_dir)
+    k = F.col("name_id")
+    text = F.concat_ws("; ", "name", "other", F.when(k % 2 == 0, F.col("name")))
+    text = F.when(k % 5 == 0, F.concat_ws(", ", "other", F.replace("name", F.lit(","), F.lit(" ")))).otherwise(text)
+    lists = n.select(F.when(k % 3 != 0, F.when(k % 7 == 0, F.lit(-1)).otherwise(k)).cast("long").alias("list_id"), text.alias("authors"))
+    return author_lists.parse_lists(lists).select("list_id", "position", "author", "used_order", "surname", "given_name", "middle_name", "is_first_author")
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of script, cleaning and lookups on names of several scripts."""
+    c = F.col("name")
+    first = F.substring(t.strip_space(F.coalesce(c, F.lit(""))), 1, 1)
+    return names(spark, sf_dir).select(
+        "name_id", t.script_of(c).alias("script"), t.has_hanzi(c).alias("has_hanzi"), t.all_hanzi(c).alias("all_hanzi"), t.is_hanzi_char(first).alias("first_is_hanzi"),
+        t.clean_name(c).alias("clean"), t.without_parentheses(c).alias("without_parentheses"), t.is_ambiguous(c).alias("ambiguous"),
+        t.is_known_surname(F.split(t.clean_name(F.coalesce(c, F.lit(""))), " ")[0]).alias("known_first"),
+    )
+
+
+def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tokens of documents are a syllable of the table, or one that is frequent in given names."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).distinct()
+    return w.select("token", pinyin.is_syllable(F.col("token")).alias("syllable"), pinyin.is_given_syllable(F.col("token")).alias("given"))
+
+
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a validation, as one row."""
+    judged = author_filter.with_verdict(authors(spark, sf_dir)).drop("confidence", "reason", "surname_token")
+    return quality.summary(surname_v8.identify(judged))
+
+
 def author_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sample(authors(spark, sf_dir), "record_id", 100).select("record_id", "name_raw")
 
@@ -142,7 +208,8 @@ QUERIES = {
     for f in (
         v8_local, v8_batch, v8_summary, v8_accuracy, v7, v3, affiliations, pinyin_segments, western_features, surname_lookups,
         name_orders, author_list_parsing, author_verdicts, class_shares, exclusion_reasons, false_positives, wrongly_excluded, version_disagreement,
-        institutions_found, transliterations, surname_index, author_sample,
+        institutions_found, transliterations, surname_index, author_sample, palladius_table, surname_index_cyrillic, processed_names, processed_orders,
+        mixed_name_orders, mixed_lists, scripts, syllables, validation_report,
     )
 }
-ORACLE_SQL = sql.SQL
+ORACLE_SQL = {**sql.SQL, **sql_names.SQL}

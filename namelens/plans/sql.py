@@ -145,8 +145,7 @@ v AS (SELECT sum((guess IS NOT NULL AND lower(guess) = lower(lastname))::INT)::B
         sum((guess IS NULL)::INT)::BIGINT AS undetermined FROM u)
 SELECT *, round(100.0::DOUBLE * correct / (correct + incorrect), 4) AS percent FROM v""",
     "affiliations": f"WITH {AUTHORS_SQL}, {AFF} SELECT record_id, aff.is_chinese, aff.country, round(aff.confidence, 6) AS confidence FROM authors LEFT JOIN aff ON aff.raw = affiliation_raw",
-    "pinyin_segments": f"""WITH RECURSIVE {SYL}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM documents),
-sh AS (SELECT tok FROM w WHERE length(tok) <= 12), {segments("SELECT tok FROM sh")}
+    "pinyin_segments": f"""WITH RECURSIVE {SYL}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM documents), {segments("SELECT tok FROM w")}
 SELECT tok AS token, n > 0 AS valid, n AS n_syllables, array_to_string(syls, ' ') AS syllables FROM seg""",
     "western_features": f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+')) AS token FROM documents)
 SELECT token, regexp_matches(token, '{_SUFFIX}') AS suffix, regexp_matches(token, '{_CLUSTER}') AS cluster, regexp_matches(token, '[{dims.LATIN_EXTENDED}]') AS extended,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namelens.operators import quality
+
 AUTHOR = "original_name string, lastname string, firstname string, affiliation string"
 COUNT = "name string, people_count bigint"
 PERSON = "orcid string, given string, family string, name string, authenticated boolean, affiliation array<string>"
@@ -44,3 +46,19 @@ def write_results(df: DataFrame, path: str, *, sample: int | None = None, order_
     """Rows as JSON lines; with sample, the first rows by order_by alone."""
     out = df.orderBy(order_by).limit(sample) if sample and order_by else df
     out.write.mode("overwrite").json(path)
+
+
+def write_report(df: DataFrame, path: str, *, cases: int = 200) -> None:
+    """A report as JSON: summary, exclusion reasons, and at most `cases` examples of each kind of error (the feature of a report).
+
+    df has name_raw and lastname, the verdict's is_chinese and reason, and order.
+    """
+    some = lambda x: x.select("name_raw", "lastname", "reason").orderBy("name_raw", "lastname", "reason").limit(cases)
+    parts = {
+        "summary": quality.summary(df),
+        "exclusion_reasons": quality.exclusion_reasons(df),
+        "wrongly_excluded_cases": some(quality.wrongly_excluded(df)),
+        "false_positive_cases": some(quality.false_positives(df)),
+    }
+    for name, x in parts.items():
+        x.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
