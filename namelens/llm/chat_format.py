@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from namelens.llm.common import id_columns, ids_of
+
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _CONTROL_RE = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
 _TURN_RE = re.compile(r"<s>\[INST\] (.*?) \[/INST\](.*?)</s>", re.S)
@@ -95,17 +97,18 @@ def format_chats(rows: DataFrame, tokenizer_path: str, *, trained: str = "assist
         t = tokenizer(tokenizer_path)
         for b in batches:
             out = []
-            for conv, turns in zip(b["conv_id"], b["turns"], strict=True):
+            for turns in b["turns"]:
                 text, spans = render([(x["role"], x["text"]) for x in turns], trained)
                 e = t.encode(text, add_special_tokens=False)
                 offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                out.append((conv, text, e.ids, offsets[:, 0], offsets[:, 1], loss_mask(offsets[:, 0], offsets[:, 1], spans)))
-            yield pd.DataFrame(out, columns=["conv_id", "formatted", "input_ids", "starts", "ends", "loss_mask"]).astype({"conv_id": "Int64", "formatted": object})
+                out.append((text, e.ids, offsets[:, 0], offsets[:, 1], loss_mask(offsets[:, 0], offsets[:, 1], spans)))
+            names = ["formatted", "input_ids", "starts", "ends", "loss_mask"]
+            yield pd.DataFrame(out, columns=names, index=b.index).astype({"formatted": object}).assign(conv_id=ids_of(b, "conv"))[["conv_id", *names]]
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turns = F.sort_array(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), text("role"), text("text")))).alias("turns")
     whole = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(turns)
-    return whole.mapInPandas(encode, "conv_id long, formatted string, input_ids array<int>, starts array<long>, ends array<long>, loss_mask array<tinyint>")
+    return whole.select(*id_columns(F.col("conv_id"), "conv"), "turns").mapInPandas(encode, "conv_id long, formatted string, input_ids array<int>, starts array<long>, ends array<long>, loss_mask array<tinyint>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -115,11 +118,12 @@ def digests(formatted: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for conv, text, starts, ends, mask in b.itertuples(index=False):
+            for text, starts, ends, mask in zip(b["formatted"], b["starts"], b["ends"], b["loss_mask"], strict=True):
                 turns, loss = parse(text), masked_text(text, np.asarray(starts), np.asarray(ends), np.asarray(mask))
-                out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64", "turns_sha256": object, "loss_sha256": object})
+                out.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
+            names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            x = pd.DataFrame(out, columns=names, index=b.index).astype({"turns_sha256": object, "loss_sha256": object})
+            yield x.assign(conv_id=ids_of(b, "conv"))[["conv_id", *names]]
 
-    d = formatted.select("conv_id", "formatted", "starts", "ends", "loss_mask")
+    d = formatted.select(*id_columns(F.col("conv_id"), "conv"), "formatted", "starts", "ends", "loss_mask")
     return d.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -126,6 +126,16 @@ def rare_first(h: np.ndarray, levels: np.ndarray | None) -> np.ndarray:
     return x if levels is None else (levels[(h & np.uint64(WIDTH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8))
 
 
+def id_columns(c: Column, name: str = "doc") -> list[Column]:
+    """An id as two columns without nulls: pandas would turn a nullable long into a float, which holds 53 bits."""
+    return [F.coalesce(c.cast("long"), F.lit(0)).alias(name), c.isNull().alias(name + "_null")]
+
+
+def ids_of(b: pd.DataFrame, name: str = "doc") -> pd.Series:
+    """The ids again, from the columns of id_columns(), as nullable integers."""
+    return pd.Series(pd.arrays.IntegerArray(b[name].to_numpy(np.int64), b[name + "_null"].to_numpy(bool)), index=b.index)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, a local session (tests) gets a temporary one, a cluster an error."""
     sc = spark.sparkContext

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namelens.llm.common import byte_words, gram_hashes, hash_words, saved
+from namelens.llm.common import byte_words, gram_hashes, hash_words, id_columns, ids_of, saved
 
 #: Hashed words and word pairs of the text view; hashed sources and languages.
 BUCKETS = 1 << 16
@@ -163,12 +163,13 @@ def features(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         for b in batches:
             texts = [text_view(x) for x in b["text"]]
             m = [metadata_view(*r) for r in zip(b["text"], b["source"], b["lang"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "y": b["y"], "t": [x[0] for x in texts], "m": m, "w": [x[1] for x in texts]})
+            yield pd.DataFrame({"doc_id": ids_of(b), "key": b["key"], "y": b["y"], "t": [x[0] for x in texts], "m": m, "w": [x[1] for x in texts]})
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")])
     d = d.withColumn("key", F.xxhash64("doc_id", "text"))
     # at most about max_labelled rows
     d = d.join(F.broadcast(known), "doc_id", "left") if known is not None else d.withColumn("y", F.lit(None).cast("double"))
+    d = d.select(*id_columns(F.col("doc_id")), "text", "source", "lang", "key", "y")
     return saved(d.mapInPandas(run, "doc_id long, key long, y double, t array<float>, m array<float>, w array<int>"), "quality-features")
 
 
@@ -281,6 +282,6 @@ def quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 8000, thr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             t, m, s = [np.full(len(b), 0.5)] * 3 if model is None or b.empty else model.scores(b)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_score": t, "metadata_score": m, "score": s, "kept": s >= threshold})
+            yield pd.DataFrame({"doc_id": ids_of(b), "text_score": t, "metadata_score": m, "score": s, "kept": s >= threshold})
 
-    return f.select("doc_id", "t", "m", "w").mapInPandas(run, "doc_id long, text_score double, metadata_score double, score double, kept boolean")
+    return f.select(*id_columns(F.col("doc_id")), "t", "m", "w").mapInPandas(run, "doc_id long, text_score double, metadata_score double, score double, kept boolean")

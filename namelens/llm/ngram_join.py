@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namelens.llm.common import Sketch, commonness, gram_hashes, hash_words, lower_ascii_words, mix, rare_first, released, saved
+from namelens.llm.common import Sketch, commonness, gram_hashes, hash_words, id_columns, ids_of, lower_ascii_words, mix, rare_first, released, saved
 
 #: Seeds of the two orders by hash, and the longs of a prefix's bitmap and of the parity bitmap.
 ORDERS = (0x51ED270B, 0x2545F491)
@@ -265,22 +265,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc", "key", "n", "c", *SIGNATURE, "y"]
+        names = ["key", "n", "c", *SIGNATURE, "y"]
         sketch = Sketch()
         for b in batches:
             out = []
-            for doc, key, text in zip(b["doc"], b["key"].tolist(), b["text"], strict=True):
+            for key, text in zip(b["key"].tolist(), b["text"], strict=True):
                 s = shingle_set(text, k)
-                out.append((doc, key, len(s), class_of(s), *(signature(s, percent) if len(s) else [0] * len(SIGNATURE)), long_parity(s) if len(s) else None))
+                out.append((key, len(s), class_of(s), *(signature(s, percent) if len(s) else [0] * len(SIGNATURE)), long_parity(s) if len(s) else None))
                 sketch.add(s)
-            yield pd.DataFrame(out, columns=names).astype({"doc": "Int64"}).assign(chunk=pd.Series(pd.NA, index=range(len(out)), dtype="Int32"), counts=None)
-        none = pd.DataFrame({x: pd.Series([pd.NA], dtype="Int64") for x in names[:-1]}).assign(y=None)
+            yield pd.DataFrame(out, columns=names, index=b.index).assign(doc=ids_of(b), chunk=pd.Series(pd.NA, index=b.index, dtype="Int32"), counts=None)
+        none = pd.DataFrame({x: pd.Series([pd.NA], dtype="Int64") for x in ["doc", *names[:-1]]}).assign(y=None)
         for chunk, counts in sketch.chunks():
             yield none.assign(chunk=pd.Series([chunk], dtype="Int32"), counts=[counts])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc", "text"))
     kind = "doc long, key long, n long, c long, " + ", ".join(f"{x} long" for x in SIGNATURE) + ", y array<long>, chunk int, counts binary"
-    written = saved(d.mapInPandas(sketched, kind), "join-members")
+    written = saved(d.select(*id_columns(F.col("doc")), "key", "text").mapInPandas(sketched, kind), "join-members")
     members = written.filter("chunk is null")
     levels = commonness(written.filter("chunk is not null").select("chunk", "counts"))
     common = d.sparkSession.sparkContext.broadcast(levels)  # WIDTH bytes

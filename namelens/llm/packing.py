@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namelens.llm.common import saved
+from namelens.llm.common import id_columns, ids_of, saved
 
 CAPACITY = 2048
 _ENCODERS: dict = {}
@@ -70,16 +70,17 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         encode = encoder(tokenizer)
         for b in batches:
             out = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc, none, text in zip(b["doc"].tolist(), b["doc_null"], b["text"], strict=True):
                 ids = np.array([*encode(text or ""), end_id], "<u4")
                 at, first = 0, len(ids) % capacity or capacity
                 for k in range(-(-len(ids) // capacity)):
                     to = first if k == 0 else at + capacity
-                    out.append((doc, k, at, to - at, zlib.crc32(ids[at:to].tobytes())))
+                    out.append((doc, none, k, at, to - at, zlib.crc32(ids[at:to].tobytes())))
                     at = to
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            x = pd.DataFrame(out, columns=["doc", "doc_null", "piece", "start", "length", "ids_crc32"])
+            yield x.assign(doc_id=ids_of(x))[["doc_id", "piece", "start", "length", "ids_crc32"]]
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(*id_columns(F.col(id_col)), F.col(text_col).cast("string").alias("text"))
     return d.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namelens.llm.common import saved
+from namelens.llm.common import id_columns, ids_of, saved
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -207,13 +207,13 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         seen: dict[str, float] = {}
         for b in batches:
             out = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for text in b["text"]:
                 n, found = scan(text, model, seen)
                 z = model.slope * evidence(n, found, model) + model.intercept
                 p = 0.0 if z == -math.inf else 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
                 passages = [{"first": a, "last": c, "score": s} for a, c, s in found if evidence(n, [(a, c, s)], model) > 0]
-                out.append((doc, p, passages))
-            yield pd.DataFrame(out, columns=["doc_id", "score", "passages"]).astype({"doc_id": "Int64"})
+                out.append((p, passages))
+            yield pd.DataFrame(out, columns=["score", "passages"], index=b.index).assign(doc_id=ids_of(b))[["doc_id", "score", "passages"]]
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(*id_columns(F.col(id_col)), F.col(text_col).cast("string").alias("text"))
     return d.mapInPandas(run, "doc_id long, score double, passages array<struct<first:long,last:long,score:double>>")

@@ -59,6 +59,31 @@ def test_statistics_and_base_rule(docs):
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
+def test_decision_list_by_hand(spark):
+    """The rules' counts and the verdicts of all rows, worked out in Python from the statistics."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        kind = i % 5
+        w = [rng.choice("abcdefgh") * (9 if kind == 0 else 4) + str(rng.randrange(4 if kind == 1 else 1000)) for _ in range(rng.randint(12, 60))]
+        rows.append((i, " ".join(w), "en", "s", 1))
+    d = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 5 > 1)) for i in range(0, 600, 2)], "doc_id long, quality int")
+    sample = quality_rules.labelled_statistics(d, labels).filter(~quality_rules.base_failed())
+    rules = quality_rules.learn(sample)
+    assert len(rules) >= 2
+    values = lambda df: [r.asDict() for r in df.select("*", *[c.alias("f_" + k) for k, c in quality_rules.features().items()]).collect()]
+    holds = lambda r, x: all((x["f_" + c.feature] > c.threshold) == c.above for c in r.conditions)
+    apart = {r[0] for r in sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).select("doc_id").collect()}
+    left = [x for x in values(sample) if x["doc_id"] in apart]
+    for r in rules:
+        hit = [x for x in left if holds(r, x)]
+        assert (r.bad, r.good) == (sum(not x["good"] for x in hit), sum(x["good"] for x in hit)) and r.bad >= 0.97 * (r.bad + r.good)
+        left = [x for x in left if not holds(r, x)]
+    for x in values(quality_rules.quality_rules(d, labels)):
+        assert x["kept"] == (not x["base_failed"] and not any(holds(r, x) for r in rules))
+
+
 def test_decision_list_learns_and_keeps_columns(spark):
     rng = random.Random(1)
     rows = []
@@ -209,7 +234,8 @@ def test_fingerprints(docs):
 def test_segments_against_brute_force():
     rng = random.Random(5)
     for _ in range(60):
-        s = [rng.choice([-1.0, -1.0, -1.0, 2.5, 3.25]) for _ in range(12)]
+        # no two sums are equal, so that the segments are unique
+        s = [rng.uniform(0.5, 4) if rng.random() < 0.4 else -1.0 for _ in range(12)]
         at = [i for i, v in enumerate(s) if v > 0]
         got = toxicity.segments(at, [s[i] for i in at], -1.0)
 
@@ -221,7 +247,7 @@ def test_segments_against_brute_force():
             v, _, a, b = max(c)
             return [*best(lo, a), (a, b - 1, v), *best(b, hi)]
 
-        assert [round(v, 9) for *_, v in got] == [round(v, 9) for *_, v in best(0, 12)] or sorted(round(v, 9) for *_, v in got) == sorted(round(v, 9) for *_, v in best(0, 12))
+        assert [(a, b, round(v, 9)) for a, b, v in got] == [(a, b, round(v, 9)) for a, b, v in best(0, 12)]
 
 
 def test_toxicity_learns(spark):
