@@ -177,8 +177,8 @@ def verified(labels: DataFrame, sets: DataFrame, percent: int, block: int = 1024
 
     labels are components of candidates, outside which there are no links. All
     members of one meet, in blocks of about `block` classes (or 1 M shingles), a
-    task for each pair of blocks. There each set is what it lacks of one set of the
-    block and what it adds, which near copies have little of; a pair's overlap
+    task for each pair of blocks. There each set is what it lacks of the shingles that most of
+    them hold, and what it adds, which near copies have little of; a pair's overlap
     follows from how many of these it shares.
     """
     x = labels.withColumnRenamed("doc", "c").join(sets.select("c", F.size("tokens").cast("long").alias("n")), "c")
@@ -190,7 +190,8 @@ def verified(labels: DataFrame, sets: DataFrame, percent: int, block: int = 1024
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        base = pdf["tokens"].iloc[0]
+        held, times = np.unique(np.concatenate(pdf["tokens"].tolist()), return_counts=True)
+        base = held[2 * times > len(pdf)]
 
         def apart(rows: pd.DataFrame) -> tuple:
             """Classes, sizes, sizes of the overlap with base, and what sets add to or lack of it (as values and owners)."""
@@ -211,8 +212,14 @@ def verified(labels: DataFrame, sets: DataFrame, percent: int, block: int = 1024
             w, at = w[order], at[order]
             low = np.searchsorted(w, v, "left")
             reps = np.searchsorted(w, v, "right") - low
-            pos = np.repeat(low - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
-            np.add.at(both, (np.repeat(owner, reps), at[pos]), 1)
+            # some elements at a time, so that what they share is bounded
+            ends, first = np.cumsum(reps), 0
+            while first < len(v):
+                to = max(first + 1, int(np.searchsorted(ends, ends[first] + (1 << 20))))
+                r, l = reps[first:to], low[first:to]
+                pos = np.repeat(l - np.cumsum(r) + r, r) + np.arange(r.sum())
+                np.add.at(both, (np.repeat(owner[first:to], r), at[pos]), 1)
+                first = to
         hit = (100 * both >= percent * (n[:, None] + m[None, :] - both)) & (c[:, None] != d[None, :])
         # the least class that links within these blocks reach
         x, y = c.copy(), d.copy()
@@ -333,7 +340,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(c, s) for text, c in zip(b["text"], b["c"].tolist(), strict=True) if class_of(s := shingle_set(text, k)) == c]
+            out, size = [], 0
+            for text, c in zip(b["text"], b["c"].tolist(), strict=True):
+                if class_of(s := shingle_set(text, k)) == c:
+                    out.append((c, s))
+                    size += len(s)
+                    if size > 1 << 20:
+                        yield pd.DataFrame(out, columns=["c", "tokens"])
+                        out, size = [], 0
             yield pd.DataFrame(out, columns=["c", "tokens"])
 
     # 4. sets of documents with candidates, and the links among them

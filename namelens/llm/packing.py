@@ -42,7 +42,6 @@ def encoder(path: str):
     """
     if path not in _ENCODERS:
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
         special = [x["content"] for x in spec.get("added_tokens", [])]
@@ -52,11 +51,15 @@ def encoder(path: str):
         # the splitting rule of byte-level BPE; a fixed value
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         fast = tiktoken.Encoding("from-file", pat_str=split, mergeable_ranks=ranks, special_tokens={})
-        slow = Tokenizer.from_file(path)
+        slow: list = []  # read when the first such text comes
 
         def encode(text: str) -> list[int]:
             if any(s in text for s in special):
-                return slow.encode(text, add_special_tokens=False).ids
+                if not slow:
+                    from tokenizers import Tokenizer
+
+                    slow.append(Tokenizer.from_file(path))
+                return slow[0].encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
         _ENCODERS[path] = encode
