@@ -130,6 +130,8 @@ def components(edges: DataFrame, what: str) -> DataFrame:
     Minimum labels go along links and along labels (pointer jumping) until none changes.
     """
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), what + "-edges")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("doc"), F.col("b").alias("component"))
     labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "doc"), what + "-labels")
     while True:
         now = labels.select("doc", F.col("to").alias("component"))
@@ -336,7 +338,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         narrow = saved(narrow.mapInPandas(parts, "token long, c long, n int, pos int").distinct(), "join-parts")
         more = more.unionByName(_across(_mixed(narrow, labels, "join-mixed"), signs, percent, False)).distinct()
     more = saved(more, "join-candidates")
-    labels = components(pairs.unionByName(more), "join-labels")
+    if not more.isEmpty():
+        labels = components(pairs.unionByName(more), "join-labels")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
