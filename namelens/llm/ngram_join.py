@@ -296,8 +296,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # copies within a task give their rows once
+        parts: list[tuple] = []
+
+        def frame() -> pd.DataFrame:
+            x = pd.DataFrame(dict(zip(("token", "c", "n", "pos"), map(np.concatenate, zip((np.zeros(0, np.int64),) * 4, *parts, strict=True)), strict=True)))
+            parts.clear()
+            return x
+
         for b in batches:
-            parts: list[tuple] = [(np.zeros(0, np.int64),) * 4]
+            size = 0
             for text in b["text"]:
                 s = shingle_set(text, k)
                 c = class_of(s)
@@ -307,7 +314,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     seen.add(c)
                     first = prefix_of(s, percent, common.value)
                     parts.append((first, np.full(len(first), c), np.full(len(first), len(s)), np.arange(len(first))))
-            yield pd.DataFrame(dict(zip(("token", "c", "n", "pos"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                    size += len(first)
+                    if size > 200_000:
+                        yield frame()
+                        size = 0
+            yield frame()
 
     t = d.select("text").mapInPandas(prefixes, "token long, c long, n int, pos int")
     shared = t.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
@@ -328,10 +339,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                sets = [shingle_set(text, k) for text in b["text"]]
-                keys = [part_keys(s, percent) for s in sets]
-                n = [len(x) for x in keys]
-                yield pd.DataFrame({"token": np.concatenate(keys) if keys else np.zeros(0, np.int64), "c": np.repeat(b["c"].to_numpy(), n), "n": np.repeat([len(s) for s in sets], n), "pos": 0})
+                for at in range(0, len(b), 1000):
+                    some = b.iloc[at : at + 1000]
+                    sets = [shingle_set(text, k) for text in some["text"]]
+                    keys = [part_keys(s, percent) for s in sets]
+                    n = [len(x) for x in keys]
+                    yield pd.DataFrame({"token": np.concatenate(keys), "c": np.repeat(some["c"].to_numpy(), n), "n": np.repeat([len(s) for s in sets], n), "pos": 0})
 
         # 3. narrower lists
         narrow = d.join(wanted.select("key", "c").join(large.select("c").distinct(), "c", "left_semi"), "key").select("text", "c")

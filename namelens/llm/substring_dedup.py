@@ -255,6 +255,7 @@ def _with_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     """wanted (anchor, content, doc, at) with the word hashes of each piece."""
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["anchor", "content", "doc", "at", "words"]
         for b in batches:
             out = []
             for doc, text, want in zip(b["doc"].tolist(), b["text"], b["want"], strict=True):
@@ -264,7 +265,10 @@ def _with_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                     if at & 0xFFFFFF == t:
                         start, n = at >> 32, (at >> 24) & 0xFF
                         out.append((x["anchor"], x["content"], doc, at, h[start : start + n]))
-            yield pd.DataFrame(out, columns=["anchor", "content", "doc", "at", "words"])
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "at")).alias("want"))
     d = _keyed(docs, id_col, text_col).join(lists, "doc")
