@@ -50,7 +50,7 @@ def text_view(text: str | None) -> tuple[list[float], np.ndarray]:
     h = hash_words(byte_words(text))
     n = len(h)
     if not n:
-        return [0.0] * 9, np.zeros(0, np.int32)
+        return [0.0] * 9, np.zeros(0, np.uint16)
     w = text.split()
     pairs, triples = gram_hashes(h, 2), gram_hashes(h, 3)
     joined = "".join(w)
@@ -65,7 +65,7 @@ def text_view(text: str | None) -> tuple[list[float], np.ndarray]:
         min(1.0, 10 * sum(joined.count(c) for c in "0123456789") / len(text)),
         min(1.0, len(np.unique(triples)) / max(1, n - 2)),
     ]
-    return shares, np.unique(np.concatenate([h, pairs]) % np.uint64(BUCKETS)).astype(np.int32)
+    return shares, np.unique(np.concatenate([h, pairs]) % np.uint64(BUCKETS)).astype(np.uint16)
 
 
 def metadata_view(text: str | None, source: str | None, lang: str | None) -> list[float]:
@@ -145,11 +145,22 @@ class Model:
         return [1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in (*odds, both)]
 
 
+def buckets_of(f: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(w, np.uint16) for w in f["w"]]
+
+
 def matrices(f: pd.DataFrame, words: list[np.ndarray]) -> list[np.ndarray]:
     """Features of both views; words: the log-odds of buckets to use for each row."""
-    mean = [float(w[b].mean()) if len(b) else 0.0 for b, w in zip(f["w"], words, strict=True)]
-    t = np.array([*f["t"]], float).reshape(len(f), 9)
-    return [np.column_stack([t, np.array(mean, float)]), np.array([*f["m"]], float).reshape(len(f), 5 + 2 * PLACES)]
+    numbers = lambda c, n: np.frombuffer(b"".join(f[c]), np.float32).reshape(-1, n).astype(float)
+    mean = [float(w[b].mean()) if len(b) else 0.0 for b, w in zip(buckets_of(f), words, strict=True)]
+    return [np.column_stack([numbers("t", 9), np.array(mean, float)]), numbers("m", 5 + 2 * PLACES)]
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
+    """The same rows, fewer at a time."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]
 
 
 def fold(key: int) -> int:
@@ -160,17 +171,20 @@ def features(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, key, y (null: none or not known) and the features of every document, written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [text_view(x) for x in b["text"]]
-            m = [metadata_view(*r) for r in zip(b["text"], b["source"], b["lang"], strict=True)]
-            yield pd.DataFrame({"doc_id": ids_of(b), "key": b["key"], "y": b["y"], "t": [x[0] for x in texts], "m": m, "w": [x[1] for x in texts]})
+        for whole in batches:
+            for at in range(0, len(whole), 500):  # what leaves Python at a time is bounded by this many texts
+                b = whole.iloc[at : at + 500]
+                texts = [text_view(x) for x in b["text"]]
+                m = [np.array(metadata_view(*r), np.float32).tobytes() for r in zip(b["text"], b["source"], b["lang"], strict=True)]
+                t, w = [np.array(x[0], np.float32).tobytes() for x in texts], [x[1].tobytes() for x in texts]
+                yield pd.DataFrame({"doc_id": ids_of(b), "key": b["key"], "y": b["y"], "t": t, "m": m, "w": w})
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")])
     d = d.withColumn("key", F.xxhash64("doc_id", "text"))
     # at most about max_labelled rows
     d = d.join(F.broadcast(known), "doc_id", "left") if known is not None else d.withColumn("y", F.lit(None).cast("double"))
     d = d.select(*id_columns(F.col("doc_id")), "text", "source", "lang", "key", "y")
-    return saved(d.mapInPandas(run, "doc_id long, key long, y double, t array<float>, m array<float>, w array<int>"), "quality-features")
+    return saved(d.mapInPandas(run, "doc_id long, key long, y double, t binary, m binary, w binary"), "quality-features")
 
 
 def histograms(pool: DataFrame, model: Model) -> np.ndarray:
@@ -205,28 +219,38 @@ def exchanged(pool: DataFrame, model: Model, cuts: list[tuple[float, float]], pi
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = Counts()
-        none: dict = {"key": 0, "label": 0, "t": None, "m": None, "w": None}
-        for b in batches:
+        for b in slices(batches):
             for v, odds in enumerate(model.raw(b)):
                 sure = (odds < cuts[v][0]) | (odds > cuts[v][1])
                 x = b.loc[sure, ["key", "t", "m", "w"]].assign(view=v, label=(odds[sure] > 0).astype(int))
                 if v == 1:
-                    for key, y, w in zip(x["key"].tolist(), x["label"].tolist(), x["w"], strict=True):
+                    for key, y, w in zip(x["key"].tolist(), x["label"].tolist(), buckets_of(x), strict=True):
                         counts.add(fold(key), y, w)
                 chosen = ((x["key"].to_numpy() >> 7) & ((1 << 30) - 1)) < limits[v]
-                yield x[chosen].assign(at=pd.Series(pd.NA, index=x.index[chosen], dtype="Int32"), n=pd.Series(pd.NA, index=x.index[chosen], dtype="Int64"))
-        f, y, at = np.nonzero(counts.of)
-        yield pd.DataFrame({**none, "view": f * 2 + y, "at": at, "n": counts.of[f, y, at]})
+                yield x[chosen].assign(part=-1, counts=None)
+        flat = counts.of.ravel()
+        for at in range(0, len(flat), BUCKETS):
+            if flat[at : at + BUCKETS].any():
+                yield pd.DataFrame({"key": [0], "t": None, "m": None, "w": None, "view": -1, "label": 0, "part": at // BUCKETS, "counts": [flat[at : at + BUCKETS].tobytes()]})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, x in zip(b["part"].tolist(), b["counts"], strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(x, np.int64)
+        yield pd.DataFrame({"part": list(sums), "counts": [x.tobytes() for x in sums.values()]}, columns=["part", "counts"])
 
-    kind = "view int, key long, label int, t array<float>, m array<float>, w array<int>, at int, n long"
-    both = saved(pool.mapInPandas(label, kind), "quality-exchange")
+    both = saved(pool.mapInPandas(label, "view int, key long, label int, t binary, m binary, w binary, part int, counts binary"), "quality-exchange")
     counts = Counts()
-    for r in both.filter("at is not null").groupBy("view", "at").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # 4 * BUCKETS rows at most
-        counts.of[int(r.view) // 2, int(r.view) % 2, int(r.at)] = r.n
-    return counts, [both.filter(f"at is null and view = {v}").select("key", F.col("label").alias("y"), "t", "m", "w").toPandas() for v in (0, 1)]
+    flat = counts.of.ravel()
+    sums = both.filter("part >= 0").select("part", "counts").repartition("part").mapInPandas(added, "part int, counts binary")
+    for r in sums.collect():  # the size of Counts
+        x = np.frombuffer(r["counts"], np.int64)
+        flat[r["part"] * BUCKETS : r["part"] * BUCKETS + len(x)] = x
+    return counts, [both.filter(f"part < 0 and view = {v}").select("key", F.col("label").alias("y"), "t", "m", "w").toPandas() for v in (0, 1)]
 
 
-def co_train(f: DataFrame, *, rounds: int = 3, share: float = 0.05, max_fitted: int = 4000) -> Model | None:
+def co_train(f: DataFrame, *, rounds: int = 3, share: float = 0.05, max_fitted: int = 2000) -> Model | None:
     """f: features(). Rounds of labelling by both views; in round r each labels share * r of the rows."""
     x = f.filter("y is not null").toPandas()  # at most about max_labelled rows
     apart = np.array([zlib.crc32(str(i).encode()) % 3 == 0 for i in x["doc_id"]], bool)
@@ -238,7 +262,7 @@ def co_train(f: DataFrame, *, rounds: int = 3, share: float = 0.05, max_fitted:
     extra, more = Counts(), [base.iloc[:0], base.iloc[:0]]
     for r in range(rounds + 1):
         counts = Counts()
-        for key, label, w in zip(base["key"].tolist(), y[~apart].astype(int).tolist(), base["w"], strict=True):
+        for key, label, w in zip(base["key"].tolist(), y[~apart].astype(int).tolist(), buckets_of(base), strict=True):
             counts.add(fold(key), label, w)
         counts.of += extra.of
         # rows are seen through word odds of the other fold, which they are not part of
@@ -271,7 +295,7 @@ def co_train(f: DataFrame, *, rounds: int = 3, share: float = 0.05, max_fitted:
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 8000, threshold: float = 0.5, **params) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, threshold: float = 0.5, **params) -> DataFrame:
     """doc_id, text_score, metadata_score, score and kept of every document. docs: doc_id, text, source, lang; labels: doc_id, quality."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("double").alias("y"))
     part = min(1.0, max_labelled / max(1, known.count()))
