@@ -189,8 +189,3 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals rows out by keys into the session's shuffle partitions (AQE may still merge them)."""
-    return df.repartition(*[F.col(k) for k in keys])
