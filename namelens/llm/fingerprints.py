@@ -3,11 +3,12 @@
 The letters are words. A run of five words holds four runs of two; it is chosen
 if the least hash of these four is the first or the last (a closed syncmer). The
 choice depends on the run alone, so equal passages choose equal anchors wherever
-they stand. The fingerprint keeps the anchors with the least hashes, at most
-`size` of them (64 in the query: a sample of a text of more than some 130 words;
-None keeps all), each with its first place. Likeness is the share of the least
-hashes of both (bottom-k estimate of the Jaccard similarity) that both have, at
-places whose distance lies near the median of their distances.
+they stand. The fingerprint keeps every anchor, each with its first place, where
+`size` is None, as in the query; a number makes a sketch of the `size` least
+hashes. Likeness is the share of the hashes of both (of the `size` least: the
+bottom-k estimate of the Jaccard similarity) that both have, at places whose
+distance lies near the median of their distances. Work per text is in proportion
+to its words, but for sorting.
 
 Defined results: null texts are empty; texts without an anchor (under five
 words, or none chosen) have one anchor, the hash of the whole text; rows with
@@ -44,12 +45,14 @@ def with_anchors(df: DataFrame, text: str, prefix: str, size: int | None = 64) -
     edge, whole = F.zip_with("__s", last, lambda a, b: F.least(a, b)), F.zip_with("__k", last, lambda a, b: F.xxhash64(a, b))
     d = d.withColumns({"__c": F.zip_with("__m", edge, lambda m, e: m == e), "__k": whole})
     d = d.withColumn("__k", F.when(n >= K, F.slice(F.zip_with("__c", "__k", lambda c, x: F.when(c, x)), F.lit(1), F.greatest(n - (K - 1), F.lit(0)))))
-    least = F.sort_array(F.array_distinct(F.array_compact("__k")))
-    d = d.withColumn("__a", F.coalesce(least if size is None else F.slice(least, 1, size), F.array().cast("array<long>")))
+    # sorted by hash and place, of equal hashes the first: no search for each hash's place
+    found = F.transform(F.coalesce("__k", F.array().cast("array<long>")), lambda v, i: F.struct(v.alias("h"), i.cast("int").alias("p")))
+    d = d.withColumn("__a", F.sort_array(F.filter(found, lambda x: x["h"].isNotNull())))
+    firsts = F.filter("__a", lambda x, i: (i == 0) | (x["h"] != F.get("__a", i - 1)["h"]))
+    d = d.withColumn("__a", firsts if size is None else F.slice(firsts, 1, size))
     none = F.size("__a") == 0
-    places = F.transform("__a", lambda v: (F.array_position(F.col("__k"), v) - 1).cast("int"))
-    d = d.withColumn(f"{prefix}_p", F.when(none, F.array(F.lit(0))).otherwise(places))
-    d = d.withColumn(f"{prefix}_h", F.when(none, F.array(F.xxhash64(F.lit("whole"), F.col(text)))).otherwise(F.col("__a")))
+    d = d.withColumn(f"{prefix}_p", F.when(none, F.array(F.lit(0))).otherwise(F.col("__a")["p"]))
+    d = d.withColumn(f"{prefix}_h", F.when(none, F.array(F.xxhash64(F.lit("whole"), F.col(text)))).otherwise(F.col("__a")["h"]))
     return d.drop("__h", "__s", "__m", "__c", "__k", "__a")
 
 
@@ -60,15 +63,20 @@ def shown(prefix: str) -> Column:
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str, size: int | None = 64, slack: int = 16) -> DataFrame:
     """df with the likeness (0 to 1) of the fingerprints a and b."""
-    union = F.sort_array(F.array_union(f"{a}_h", f"{b}_h"))
-    d = df.withColumn("__u", union if size is None else F.slice(union, 1, size))
-    d = d.withColumn("__i", F.array_intersect("__u", F.array_intersect(f"{a}_h", f"{b}_h")))
-    place = lambda p, v: F.get(f"{p}_p", F.array_position(F.col(f"{p}_h"), v).cast("int") - 1)
-    d = d.withColumn("__d", F.sort_array(F.transform("__i", lambda v: place(b, v) - place(a, v))))
+    side = lambda p, k: F.zip_with(f"{p}_h", f"{p}_p", lambda h, at: F.struct(h.alias("h"), F.lit(k).alias("k"), at.alias("p")))
+    # in order of hash, so that a hash of both stands twice: a's place, then b's
+    d = df.withColumn("__u", F.sort_array(F.concat(side(a, 0), side(b, 1))))
+    before, then = lambda i: F.get("__u", i - 1), lambda i: F.get("__u", i + 1)
+    merged = F.transform(
+        "__u", lambda x, i: F.struct(before(i)["h"].eqNullSafe(x["h"]).alias("again"), F.when(then(i)["h"] == x["h"], then(i)["p"] - x["p"]).alias("d"))
+    )
+    union = F.filter(merged, lambda x: ~x["again"])
+    d = d.withColumn("__u", union if size is None else F.slice(union, 1, size))
+    d = d.withColumn("__d", F.sort_array(F.array_compact(F.col("__u")["d"])))
     d = d.withColumn("__mid", F.get("__d", F.floor(F.size("__d") / 2).cast("int")))
     near = F.size(F.filter("__d", lambda x: F.abs(x - F.col("__mid")) <= slack))
     d = d.withColumn(name, F.when(F.size("__u") > 0, F.greatest(near, F.lit(0)) / F.size("__u")).otherwise(F.lit(0.0)))
-    return d.drop("__u", "__i", "__d", "__mid")
+    return d.drop("__u", "__d", "__mid")
 
 
 def id_ranges(ids: DataFrame, most: int = 1024) -> Column:
@@ -100,17 +108,19 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     document meets the first of the next range.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    d = d.withColumn("range", id_ranges(d.select("doc_id")))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    d = d.withColumns({"range": id_ranges(d.select("doc_id")), "text_hash": F.xxhash64("text")})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc()]
     w = Window.partitionBy("range").orderBy(*order)
     following = F.struct(F.col("text").alias("text"), F.col("t_h").alias("h"), F.col("t_p").alias("p"))
-    firsts = d.groupBy("range").agg(F.min_by("text", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text"))).alias("text"))
+    firsts = d.groupBy("range").agg(F.min_by("text", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "text_hash")).alias("text"))
     # one row per range, with the range before it
     every = Window.orderBy("range")
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     numbers = d.select("range").distinct().withColumn("before", F.coalesce(F.lag("range").over(every), F.max("range").over(whole)))
     firsts = with_anchors(firsts, "text", "f", size).join(numbers, "range")
     firsts = firsts.select(F.col("before").alias("range"), F.struct("text", F.col("f_h").alias("h"), F.col("f_p").alias("p")).alias("first"))
+    # texts alone are shuffled and sorted: their anchors are computed where the window reads them
+    d = d.repartition("range").sortWithinPartitions("range", *order)
     d = with_anchors(d, "text", "t", size).withColumn("following", F.lead(following).over(w))
     d = d.join(firsts, "range", "left").withColumn("following", F.coalesce("following", "first"))
     return d.select("doc_id", "text", "t_h", "t_p", F.col("following.text").alias("next_text"), F.col("following.h").alias("n_h"), F.col("following.p").alias("n_p"))

@@ -7,7 +7,7 @@ import struct
 import pytest
 import xxhash
 
-from namelens.llm import fingerprints
+from namelens.llm import fingerprints, queries
 
 
 def signed(x):
@@ -101,3 +101,27 @@ def test_ranges_are_even_and_in_order(spark):
 
 def test_empty(spark):
     assert fingerprints.edited_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_keeps_every_anchor(spark, tmp_path):
+    """The registered query keeps all anchors of a text of any length, and compares all of them: a change outside the least 64 shows."""
+    rng = random.Random(8)
+    base = [str(rng.randrange(10**6)) for _ in range(3000)]
+    kept = set(anchors(" ".join(base)).values())
+    j = next(j for j in range(100, 2900) if not kept & set(range(j - 4, j + 1)) and set(anchors(" ".join(base), 1 << 30).values()) & set(range(j - 4, j + 1)))
+    changed = [*base[:j], "other", *base[j + 1 :]]
+    assert anchors(" ".join(base)) == anchors(" ".join(changed))
+    repeats = [str(rng.randrange(40)) for _ in range(2000)]
+    words = [base, changed, changed, base[:2000] + base[1000:], repeats, base[7:], [str(i % 20_000) for i in range(30_000)], [], ["a"] * 500, base[:100]]
+    rows = [(3 * i, " ".join(w)) for i, w in enumerate(words)]
+    spark.createDataFrame([*rows, (100, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(words) + 1 and got[0]["fingerprint"] != got[3]["fingerprint"] == got[6]["fingerprint"]
+    every, texts = 1 << 30, [t for _, t in rows] + [""]
+    for i, (k, t) in enumerate(zip([*(3 * i for i in range(len(words))), 100], texts, strict=True)):
+        after, half = texts[(i + 1) % len(texts)], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, e, n = (anchors(x, every) for x in (t, edited, after))
+        assert (got[k]["fingerprint"], got[k]["edited_fingerprint"]) == (shown(a), shown(e)), k
+        assert (got[k]["near_edited"], got[k]["near_next"]) == pytest.approx((likeness(a, e, every), likeness(a, n, every)), abs=1e-9), k
+    assert len(got[0]["fingerprint"].split()) > 1000 and got[0]["near_next"] < 1
