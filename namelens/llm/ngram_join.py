@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namelens.llm.common import Sketch, commonness, gram_hashes, hash_words, id_columns, ids_of, lower_ascii_words, mix, rare_first, released, saved
+from namelens.llm.common import Sketch, commonness, gram_hashes, hash_words, id_columns, ids_of, lower_ascii_words, mix, rare_first, released, saved, trimmed
 
 #: Seeds of the two orders by hash, and the longs of a prefix's bitmap and of the parity bitmap.
 ORDERS = (0x51ED270B, 0x2545F491)
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc", "text"))
     kind = "doc long, key long, n long, c long, " + ", ".join(f"{x} long" for x in SIGNATURE) + ", y array<long>, chunk int, counts binary"
-    written = saved(d.select(*id_columns(F.col("doc")), "key", "text").mapInPandas(sketched, kind), "join-members")
+    written = saved(d.select(*id_columns(F.col("doc")), "key", "text").mapInPandas(trimmed(sketched), kind), "join-members")
     members = written.filter("chunk is null")
     levels = commonness(written.filter("chunk is not null").select("chunk", "counts"))
     common = d.sparkSession.sparkContext.broadcast(levels)  # WIDTH bytes
@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                         size = 0
             yield frame()
 
-    t = d.select("text").mapInPandas(prefixes, "token long, c long, n int, pos int")
+    t = d.select("text").mapInPandas(trimmed(prefixes), "token long, c long, n int, pos int")
     shared = t.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
     rows = saved(t.join(shared, "token", "left_semi").distinct(), "join-prefixes")
     signed = members.filter("n > 0").groupBy("c").agg(F.min("key").alias("key"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in [*SIGNATURE, "y"]])
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         # 3. narrower lists
         narrow = d.join(wanted.select("key", "c").join(large.select("c").distinct(), "c", "left_semi"), "key").select("text", "c")
-        narrow = saved(narrow.mapInPandas(parts, "token long, c long, n int, pos int").distinct(), "join-parts")
+        narrow = saved(narrow.mapInPandas(trimmed(parts), "token long, c long, n int, pos int").distinct(), "join-parts")
         more = more.unionByName(_across(_mixed(narrow, labels, "join-mixed"), signs, percent, False)).distinct()
     more = saved(more, "join-candidates")
     if not more.isEmpty():
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # 4. sets of documents with candidates, and the links among them
     wanted = wanted.select("key", "c").join(labels.select(F.col("doc").alias("c")), "c", "left_semi")
-    sets = d.join(wanted, "key").select("text", "c").mapInPandas(sets_of, "c long, tokens array<long>")
+    sets = d.join(wanted, "key").select("text", "c").mapInPandas(trimmed(sets_of), "c long, tokens array<long>")
     sets = saved(sets.dropDuplicates(["c"]), "join-sets")
     links = saved(verified(labels, sets, percent), "join-links")
     labels = components(links.filter("c != to").select(F.col("c").alias("a"), F.col("to").alias("b")), "join-labels")

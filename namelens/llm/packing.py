@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namelens.llm.common import id_columns, ids_of, saved
+from namelens.llm.common import id_columns, ids_of, saved, trimmed
 
 CAPACITY = 2048
 _ENCODERS: dict = {}
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
             yield x.assign(doc_id=ids_of(x))[["doc_id", "piece", "start", "length", "ids_crc32"]]
 
     d = docs.select(*id_columns(F.col(id_col)), F.col(text_col).cast("string").alias("text"))
-    return d.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return d.mapInPandas(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(bins: list[list[int]], fill: list[int], items: list[int], size: list[int], capacity: int) -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namelens.llm.common import Sketch, byte_words, commonness, free_names, gram_hashes, hash_words, mix, rare_first, saved
+from namelens.llm.common import Sketch, byte_words, commonness, free_names, gram_hashes, hash_words, mix, rare_first, saved, trimmed
 
 WINDOW = 13
 ANCHOR = 6
@@ -169,7 +169,7 @@ def covered_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         yield pd.DataFrame(list(sketch.chunks()), columns=["chunk", "counts"])
 
     keyed = _keyed(docs, id_col, text_col)
-    levels = commonness(saved(keyed.select("text").mapInPandas(counted, "chunk int, counts binary"), "anchor-counts"))
+    levels = commonness(saved(keyed.select("text").mapInPandas(trimmed(counted), "chunk int, counts binary"), "anchor-counts"))
     common = docs.sparkSession.sparkContext.broadcast(levels)  # a byte for each counter of the sketch
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +203,7 @@ def covered_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 yield frame(parts)
 
     # pieces that a task has met in an earlier document are settled there; they are dealt out by themselves, so that a passage in very many documents gathers nowhere
-    p = keyed.mapInPandas(cut, "key long, anchor long, content long, doc long, at long, late boolean").repartition("key")
+    p = keyed.mapInPandas(trimmed(cut), "key long, anchor long, content long, doc long, at long, late boolean").repartition("key")
     alike, of_anchor = Window.partitionBy("key", "content"), Window.partitionBy("key")
     p = p.withColumn("first_doc", F.min("doc").over(alike))
     p = p.withColumns({"low": F.min("content").over(of_anchor), "high": F.max("content").over(of_anchor)})
@@ -239,7 +239,7 @@ def covered_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 out += [(doc, at & 0xFFFFFF, (((at >> 32) + s) << 24) + e - s) for s, e in done[content]]
             yield pd.DataFrame(out, columns=["doc", "tag", "span"])
 
-    partly = small.mapInPandas(shards, "doc long, tag long, span long")
+    partly = small.mapInPandas(trimmed(shards), "doc long, tag long, span long")
     # shards beyond the bound: the smallest doc_id of each window
     rest = compared.join(F.broadcast(large.select("anchor")) if large.count() < 100_000 else large.select("anchor"), "anchor")
     rest = rest.select("doc", "at", "words", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("i"))
@@ -272,7 +272,7 @@ def _with_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "at")).alias("want"))
     d = _keyed(docs, id_col, text_col).join(lists, "doc")
-    return d.mapInPandas(fetch, "anchor long, content long, doc long, at long, words array<long>").dropDuplicates(["anchor", "doc", "at"])
+    return d.mapInPandas(trimmed(fetch), "anchor long, content long, doc long, at long, words array<long>").dropDuplicates(["anchor", "doc", "at"])
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             cols = [b.column(c) for c in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *made])
 
-    return d.select(*[F.col(f"`{c}`") for c in [*names, own]]).mapInArrow(keep, schema)
+    return d.select(*[F.col(f"`{c}`") for c in [*names, own]]).mapInArrow(trimmed(keep), schema)
 
 
 def removed_digests(docs: DataFrame, **params) -> DataFrame:
